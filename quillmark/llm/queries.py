@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import decontaminate, licenses, preferences, urls
+from ..session import scratch, table
+from . import decontaminate, licenses, packing, preferences, tokenfile, toxicity, urls
 
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packing.pack(packing.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+    return p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return tokenfile.read_tokens(spark, path)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     return r.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -31,6 +48,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    s = toxicity.score(docs, net)
+    return s.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -105,5 +130,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-QUERIES = {"op4_license_scan": op4_license_scan, "op5_url_filter": op5_url_filter, "op6_chat_preferences": op6_chat_preferences, "op9_decontamination": op9_decontamination}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_token_files": op2_token_files, "op4_license_scan": op4_license_scan, "op5_url_filter": op5_url_filter, "op6_chat_preferences": op6_chat_preferences, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
 ORACLES = {"op4_license_scan": license_sql(), "op5_url_filter": url_sql(), "op6_chat_preferences": PREFERENCE_SQL, "op9_decontamination": DECONTAMINATION_SQL}
