@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch, table
-from . import decontaminate, licenses, packing, preferences, tokenfile, toxicity, urls
+from . import decontaminate, licenses, packing, preferences, tokenfile, toxicity, urls, vectors
 
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -42,6 +42,10 @@ def op6_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.format_preferences(preferences.pairs_from_conversations(table(spark, sf_dir, "conversations")))
 
 
+def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -130,5 +134,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_token_files": op2_token_files, "op4_license_scan": op4_license_scan, "op5_url_filter": op5_url_filter, "op6_chat_preferences": op6_chat_preferences, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_token_files": op2_token_files, "op4_license_scan": op4_license_scan, "op5_url_filter": op5_url_filter, "op6_chat_preferences": op6_chat_preferences, "op8_embedding_duplicates": op8_embedding_duplicates, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
 ORACLES = {"op4_license_scan": license_sql(), "op5_url_filter": url_sql(), "op6_chat_preferences": PREFERENCE_SQL, "op9_decontamination": DECONTAMINATION_SQL}
