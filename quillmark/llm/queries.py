@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch, table
-from . import decontaminate, licenses, packing, preferences, tokenfile, toxicity, urls, vectors
+from . import decontaminate, licenses, ordermin, packing, preferences, tokenfile, toxicity, urls, vectors
 
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -29,6 +29,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path)
 
 
+def op3_minhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ordermin.near_texts(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "class_id", "n_kmers", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     return r.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -134,5 +139,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_token_files": op2_token_files, "op4_license_scan": op4_license_scan, "op5_url_filter": op5_url_filter, "op6_chat_preferences": op6_chat_preferences, "op8_embedding_duplicates": op8_embedding_duplicates, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_token_files": op2_token_files, "op3_minhash_duplicates": op3_minhash_duplicates, "op4_license_scan": op4_license_scan, "op5_url_filter": op5_url_filter, "op6_chat_preferences": op6_chat_preferences, "op8_embedding_duplicates": op8_embedding_duplicates, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
 ORACLES = {"op4_license_scan": license_sql(), "op5_url_filter": url_sql(), "op6_chat_preferences": PREFERENCE_SQL, "op9_decontamination": DECONTAMINATION_SQL}
