@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch, table
-from . import decontaminate, licenses, ordermin, packing, preferences, tokenfile, toxicity, urls, vectors
+from . import decontaminate, licenses, ordermin, packing, preferences, suffixes, tokenfile, toxicity, urls, vectors
 
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,6 +47,16 @@ def op6_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.format_preferences(preferences.pairs_from_conversations(table(spark, sf_dir, "conversations")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    r = suffixes.repeats(docs).select("doc_id", "text_key", gone.alias("gone"), F.size("spans").cast("long").alias("n"), F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    j = base.join(r, ["doc_id", "text_key"], "left")
+    return j.select("doc_id", "n_bytes", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+
 def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -139,5 +149,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_token_files": op2_token_files, "op3_minhash_duplicates": op3_minhash_duplicates, "op4_license_scan": op4_license_scan, "op5_url_filter": op5_url_filter, "op6_chat_preferences": op6_chat_preferences, "op8_embedding_duplicates": op8_embedding_duplicates, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_token_files": op2_token_files, "op3_minhash_duplicates": op3_minhash_duplicates, "op4_license_scan": op4_license_scan, "op5_url_filter": op5_url_filter, "op6_chat_preferences": op6_chat_preferences, "op7_suffix_dedup": op7_suffix_dedup, "op8_embedding_duplicates": op8_embedding_duplicates, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
 ORACLES = {"op4_license_scan": license_sql(), "op5_url_filter": url_sql(), "op6_chat_preferences": PREFERENCE_SQL, "op9_decontamination": DECONTAMINATION_SQL}
