@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -18,11 +19,11 @@ class CachedEncoder:
 
     Byte-level BPE with the usual pattern starts a new word at each space unless white space stands on both sides of it, and
     at both ends of a line feed without white space beside it. A tokenizer that collapses white space and keeps only what
-    is not white space can be cut at each space and line feed. Words between such cuts recur, so their ids are kept (up to
-    ``most`` words, then it starts anew). Of any other tokenizer whole texts are encoded.
+    is not white space can be cut at each space and line feed. Words between such cuts recur, so their ids are kept (between
+    ``most`` and twice as many). Of any other tokenizer whole texts are encoded.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,17 +41,36 @@ class CachedEncoder:
             split = (pre.get("pretokenizers") or [{}])[0]
             if split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and [x.get("type") for x in pre["pretokenizers"][1:]] == ["ByteLevel"]:
                 self.kind = "dropped space"
+        # words since the last change of generation, and those of the generation before, which come over when they are asked for
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.older: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         self.unsafe, self.feeds = re.compile(r"\s \s"), re.compile(r"\s\n|\n\s")
         self.feed = self._ids(["\n"])[0]
+        self.marks = dict(zip(".,", self._ids([".", ","]), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        raw, out, a = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), [], 0
+        for x in ids:
+            b = a + 4 * len(x)
+            out.append(raw[a:b])
+            a = b
+        return out
 
-    def _fill(self, known: dict[str, bytes], asked: Iterable[str], before: str) -> None:
-        new = [x for x in asked if x not in known]
+    def _fill(self, known: dict[str, bytes], asked: set[str], before: str) -> None:
+        new = asked.difference(known)
         if new:
+            old = self.older[before]
+            kept = new.intersection(old)
+            known.update((x, old[x]) for x in kept)
+            new -= kept
+            marked = [x for x in new if x[-1:] in self.marks and x[-2:-1].isalpha()]  # the mark is a word of its own
+            if marked:
+                self._fill(known, {x[:-1] for x in marked}, before)
+                new = new.difference(marked)
+                known.update((x, known[x[:-1]] + self.marks[x[-1]]) for x in marked)
+            new = [x for x in new if x not in known]
             known.update(zip(new, self._ids([before + x for x in new]) if before else self._ids(new), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -59,6 +79,7 @@ class CachedEncoder:
         if not self.kind:
             return self._ids(texts)
         if len(self.first) + len(self.spaced) > self.most:
+            self.older = {"": self.first, " ": self.spaced}
             self.first, self.spaced = {}, {}
         if self.kind == "dropped space":
             parts = [t.replace("\n", " ").split(" ") for t in texts]
