@@ -16,6 +16,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from .components import components
 K = 5
 SIMILARITY = 0.8
 SKETCHES, TUPLE = 24, 3
+#: Buckets of up to FEW members give pairs; larger ones are cut into blocks of about BLOCK_KMERS k-mers.
+FEW, BLOCK_KMERS = 8, 400_000
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, SKETCHES, dtype=U64)
 _ORDER = np.random.default_rng(78).integers(1, 2**63, TUPLE, dtype=U64) | U64(1)
 _PLACE = np.random.default_rng(79).integers(1, 2**63, K, dtype=U64) | U64(1)
@@ -129,12 +132,60 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     return p.select("a", "b", "_ta", "_tb").mapInArrow(each, "a long, b long")
 
 
+def _links_in_blocks(many: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Links (a, b) that connect what is connected, of buckets (bucket, rep, component, blocks): each pair of a bucket's blocks is a group."""
+    d = many.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    d = d.select("bucket", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    d = d.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+
+    def linked(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("rep")
+        seqs = []
+        for _, _, data, at in runs(pa.array(df["text"], pa.large_string())):
+            h, _, _, by_text = word_hashes(data, at)
+            seqs += [kmers(w, k) for w in np.split(h, by_text[1:-1])]
+        return _forest(df["rep"].to_numpy(), df["component"].to_numpy(), df["side"].to_numpy(), seqs, similarity)
+
+    return d.groupBy("bucket", "i", "j").applyInPandas(linked, "a long, b long")
+
+
+def _forest(ids: np.ndarray, components: np.ndarray, side: np.ndarray, seqs: list[np.ndarray], similarity: float) -> pd.DataFrame:
+    n = np.array([len(s) for s in seqs])
+    doc, element = np.repeat(np.arange(len(seqs)), n), np.concatenate(seqs)
+    _, code, count = np.unique(element, return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    doc, code = doc[shared], np.unique(code[shared], return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    doc, code = doc[order], code[order]
+    width = int(code[-1]) + 1 if len(code) else 0
+    common = np.zeros((len(seqs), len(seqs)), np.float32)
+    for a in range(0, width, 4096):  # elements that two texts have, some thousand at a time
+        lo, hi = np.searchsorted(code, [a, a + 4096])
+        x = np.zeros((len(seqs), min(4096, width - a)), np.float32)
+        x[doc[lo:hi], code[lo:hi] - a] = 1
+        common += x @ x.T
+    need = (n[:, None] + n[None, :]) * (similarity / (1 + similarity)) - 1e-6
+    maybe = common >= need
+    if (side > 0).any():
+        maybe &= side[:, None] != side[None, :]
+    root = np.unique(components, return_inverse=True)[1]
+    links = []
+    for i in range(len(seqs)):
+        for j in np.flatnonzero(maybe[i, :i]):
+            if root[i] != root[j] and alignment(seqs[i], seqs[j], similarity) >= similarity:
+                links.append((ids[j], ids[i]))
+                root[root == root[i]] = root[j]
+    return pd.DataFrame(links, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
+
+
 def near_texts(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES) -> DataFrame:
     """(doc_id, class_id, n_words_kmers): one row per distinct id; class_id is the smallest id of its class.
 
     Texts of the same words in the same order are copies; classes are the connected components of copies and similar pairs. First
     each bucket's smallest id is held against the others. Then, in buckets whose members are still of several components, all
-    pairs from different components are: within a component no pair could change the result. Null and empty texts and texts
+    pairs from different components are: within a component no pair could change the result. Buckets of over FEW members are
+    compared in blocks of a stated size, which give a forest of links instead of pairs. Null and empty texts and texts
     without words are classes of their own. Rows with a null id are left out; of rows that repeat an id the one of the smallest
     content counts. Other columns are ignored.
     """
@@ -154,13 +205,15 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     first = materialize(verified(pairs, texts, similarity, k))
     comp = components(first)
     m = materialize(members.select("bucket", "rep", "n").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
-    mixed = m.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    left = m.join(mixed, "bucket")
-    x, y = left.alias("x"), left.alias("y")
+    mixed = m.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), F.sum("n").alias("total")).where("x <> y")
+    few = m.join(mixed.where(F.col("members") <= FEW).select("bucket"), "bucket")
+    x, y = few.alias("x"), few.alias("y")
     least = F.least("x.n", "y.n") * (1 + similarity) >= (F.col("x.n") + F.col("y.n")) * similarity - 1e-6
     more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & least)
     more = more.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    second = materialize(verified(more, texts, similarity, k))
+    many = m.join(mixed.where(F.col("members") > FEW).select("bucket", F.ceil(F.col("total") / BLOCK_KMERS).cast("int").alias("blocks")), "bucket")
+    more_links = verified(more, texts, similarity, k).unionByName(_links_in_blocks(many, texts, similarity, k))
+    second = materialize(more_links)
     if not second.isEmpty():
         comp = components(first.unionByName(second))
     classes = rep_of.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
