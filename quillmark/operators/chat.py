@@ -64,7 +64,7 @@ def next_fit(items: DataFrame, max_files: int = MAX_FILES, max_chars: int = MAX_
             out.append(message)
         return df.assign(message=out)[["rank", "path", "message"]]
 
-    return items.select("rank", "path", "size").groupBy(F.lit(1)).applyInPandas(packed, "rank long, path string, message int")
+    return items.select("rank", "path", "size").groupBy(F.lit("all")).applyInPandas(packed, "rank long, path string, message int")
 
 
 def within_budget(items: DataFrame, budget: int) -> DataFrame:
@@ -84,4 +84,4 @@ def within_budget(items: DataFrame, budget: int) -> DataFrame:
             total += s if fits else 0
         return df[keep][["path", "size"]]
 
-    return items.select("path", "size").groupBy(F.lit(1)).applyInPandas(taken, "path string, size long")
+    return items.select("path", "size").groupBy(F.lit("all")).applyInPandas(taken, "path string, size long")

@@ -111,7 +111,7 @@ def import_regions(h: DataFrame) -> DataFrame:
     named = lambda d, s, e: d.select("path", F.lit("IMPORTS").alias("name"), s.cast("int").alias("start"), e.cast("int").alias("end"))
     go = h.where("lang = 'go'").select("path", F.get(matches(F.col("text"), _java(GO_IMPORT)), F.lit(0)).alias("m")).where("m is not null")
     ts = h.where("lang = 'ts'").select("path", matches(F.col("text"), _java(TS_IMPORT)).alias("m")).where(F.size("m") > 0)
-    ts = ts.where(F.col("m")[0]["offset"] < TS_IMPORT_OFFSET)
+    ts = ts.where(F.get("m", F.lit(0))["offset"] < TS_IMPORT_OFFSET)
     lines = h.where("lang = 'java'").select("path", F.posexplode(F.slice(F.split("text", "\n", -1), 1, JAVA_IMPORT_LINES)).alias("n", "t"))
     t = F.trim(F.regexp_replace("t", rf"^{WS}+|{WS}+$", ""))
     lines = lines.select("path", (F.col("n") + 1).alias("n"), t.startswith("import ").alias("imports"), ((t != "") & ~t.startswith("//") & ~t.startswith("import ")).alias("other"))
@@ -120,7 +120,7 @@ def import_regions(h: DataFrame) -> DataFrame:
     lines = lines.withColumn("first", begun).withColumn("stop", F.when(F.col("other") & F.col("first").isNotNull(), 1).otherwise(0))
     lines = lines.withColumn("stopped", F.max("stop").over(own)).where("imports and stopped = 0")
     java = lines.groupBy("path").agg(F.min("n").alias("s"), F.max("n").alias("e"))
-    return named(java, F.col("s"), F.col("e")).unionByName(named(go, F.col("m.start"), F.col("m.end"))).unionByName(named(ts, F.col("m")[0]["start"], F.element_at("m", -1)["end"]))
+    return named(java, F.col("s"), F.col("e")).unionByName(named(go, F.col("m.start"), F.col("m.end"))).unionByName(named(ts, F.get("m", F.lit(0))["start"], F.try_element_at("m", F.lit(-1))["end"]))
 
 
 def test_regions(h: DataFrame) -> DataFrame:

@@ -72,7 +72,8 @@ TS_LETVAR = rf"^\s*export\s+(?:let|var)\s+({_JS})\s*="
 
 RULES = {
     "java": [
-        Rule(rf"{MULTI}^(?:{_MODS}|{WS}++)++[A-Za-z0-9_<>\[\].?]+{WS}+({_WORD}){WS}*+\(", rf"(?m)^\s*(?:{_MODS}|\s)+\s*[A-Za-z0-9_<>\[\].?]+\s+({_WORD})\s*\("),
+        # the type may be one of the modifiers itself, so there are two forms of what stands before the name
+        Rule(rf"{MULTI}^(?:(?:{_MODS}|{WS}++)++[A-Za-z0-9_<>\[\].?]+|(?:{WS}++|(?:{_MODS}){WS}++)(?:(?:{_MODS}){WS}++)*?(?:{_MODS})){WS}++({_WORD}){WS}*+\(", rf"(?m)^\s*(?:{_MODS}|\s)+\s*[A-Za-z0-9_<>\[\].?]+\s+({_WORD})\s*\("),
         Rule(rf"{MULTI}^(?:public|protected|private|{WS}++)++({_WORD}){WS}*+\(", rf"(?m)^\s*(?:public|protected|private|\s)+\s*({_WORD})\s*\(", kind="ctor", only="type"),
     ],
     "go": [_rule(rf"^\s*func\s+(\([^)]+\)\s*)?({_WORD})\s*\(", group=2, owner="receiver")],
@@ -105,7 +106,9 @@ def heads(files: DataFrame) -> DataFrame:
     ts_class, ts_interface = F.regexp_like(t, F.lit(_both(TS_CLASS))), first_group(t, _both(TS_INTERFACE))
     typ = F.when(lang != "ts", typ).when(ts_class, F.coalesce(F.nullif(first_group(t, _both(TS_CLASS)), F.lit("")), F.lit("default"))).otherwise(ts_interface)
     kind = F.when(lang != "ts", kind).when(ts_class, "class").when(ts_interface != "", "interface").otherwise("")
-    return files.select("path", lang.alias("lang"), "text", line_count(t).alias("lines"), package.alias("package"), typ.alias("class"), F.coalesce(F.nullif(kind, F.lit("")), F.lit("file")).alias("kind"))
+    # through a generator, so that the optimizer does not put these expressions wherever their columns are used
+    row = F.struct(lang.alias("lang"), line_count(t).alias("lines"), package.alias("package"), typ.alias("class"), F.coalesce(F.nullif(kind, F.lit("")), F.lit("file")).alias("kind"))
+    return files.select("path", "text", F.inline_outer(F.array(row))).select("path", "lang", "text", "lines", "package", "class", "kind")
 
 
 def _python_module(path: Column) -> Column:
@@ -139,14 +142,15 @@ def _found(lang: str) -> Column:
     return F.concat(*groups)
 
 
-def symbols(files: DataFrame) -> DataFrame:
+def symbols(files: DataFrame, languages: tuple[str, ...] = tuple(RULES)) -> DataFrame:
     """(path, symbol, kind, start, end, seq, export) of files (path, text). A symbol ends where the next of its file starts, or with the file."""
     h = heads(files)
     parts = []
-    for lang in RULES:
+    for lang in languages:
         some = h.where(F.col("lang") == lang).withColumn("s", F.explode(_found(lang)))
         parts.append(some.select("path", "lines", "s.*"))
-    parts += [_primary_types(h), _object_members(h)]
+    parts += [_primary_types(h)] if "cpp" in languages else []
+    parts += [_object_members(h)] if "ts" in languages else []
     u = reduce(DataFrame.unionByName, parts)
     own = Window.partitionBy("path")
     u = u.withColumn("seq", F.row_number().over(own.orderBy("rule", "i")))
