@@ -23,6 +23,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from .plans import catalog_changes, catalog_code  # noqa: F401
+    from .plans import catalog_changes, catalog_code, catalog_files  # noqa: F401
 
 
