@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -124,14 +124,18 @@ def _links_of_blocks(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, side: n
     return pd.DataFrame({"id": ids[some], "n": counts[some], "root": ids[forest.root[some]]})
 
 
-def unit(v: Column) -> Column:
-    """The vector of length 1 in double precision; null if it is null or empty, has components that are null or not finite, or is zero."""
-    d = v.cast("array<double>")
-    top = F.array_max(F.transform(d, lambda y: F.abs(y)))
-    bad = d.isNull() | (F.size(d) == 0) | F.exists(d, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")))
-    scaled = F.transform(d, lambda y: y / F.when(top > 0, top))
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, y: s + y * y))
-    return F.when(~F.coalesce(bad, F.lit(True)) & (top > 0), F.transform(scaled, lambda y: y / norm))
+def unit(vectors: pd.Series) -> pd.Series:
+    """Vectors of length 1 in double precision; null for those that are null or empty, have components that are null or not finite, or are zero."""
+    out: list[np.ndarray | None] = []
+    for v in vectors:
+        x = np.array([np.nan if y is None else y for y in v] if v is not None and getattr(v, "dtype", None) == object else [] if v is None else v, np.float64)
+        top = np.abs(x).max() if len(x) else 0.0
+        if not np.isfinite(top) or top == 0 or np.isnan(x).any():
+            out.append(None)
+        else:
+            x = x / top  # squares of neither very large nor very small numbers
+            out.append(x / np.sqrt((x * x).sum()))
+    return pd.Series(out, dtype=object)
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
@@ -142,7 +146,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
     out; of rows that repeat an id one counts (that of the smallest vector). Other columns are ignored.
     """
     d = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.struct(F.col(vector_col).alias("v"), F.col(label_col).alias("label"))).alias("x"))
-    d = materialize(d.select("id", F.col("x.label").alias("label"), unit(F.col("x.v")).alias("v")))
+    d = materialize(d.select("id", F.col("x.label").alias("label"), F.pandas_udf(unit, "array<double>")(F.col("x.v")).alias("v")))
     valid = d.where("v is not null and label is not null")
     reps = materialize(valid.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     same = valid.join(reps.select("label", "v", F.col("id").alias("rep"), "copies"), ["label", "v"]).select("id", "rep", "copies")
