@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of about this many bytes (a longer text is a run of its own).
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 

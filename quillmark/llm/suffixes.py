@@ -27,11 +27,11 @@ from ..session import materialize
 from .bytetools import U64, byte_values, mix, prefix_hash, runs, span_hash
 
 LENGTH, GRAM = 50, 18
-RUN, CHUNK = 3 << 20, 1 << 22
-BUCKET_BYTES = 16 << 20
+RUN, CHUNK = 1 << 20, 1 << 20
+BUCKET_BYTES = 8 << 20
 #: An anchor that more runs than this have is dealt by window.
 HOT_RUNS = 20_000
-BATCH = 1 << 19
+BATCH = 1 << 18
 _PLACE, _TOP = U64((1 << 24) - 1), 48
 _PAIR = np.dtype([("doc", "<i8"), ("key", "<i8")])
 
@@ -79,6 +79,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
             sums = prefix_hash(byte_values(data[a : b + LENGTH - 1]))
             i = np.arange(b - a + LENGTH - GRAM)
             g = span_hash(sums, i, i + GRAM)
+            # smallest hashes are what is kept, so buckets go by another hash of them
             m = (g & ~_PLACE) | i.astype(U64)
             width = 1
             while 2 * width <= LENGTH - GRAM + 1:
@@ -93,7 +94,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
                 new = np.concatenate(([True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)))
                 first = np.flatnonzero(new)
                 last = np.concatenate((first[1:] - 1, [len(s) - 1]))
-                out.append((s[first] + a, s[last] + a, g[p[first]] >> U64(64 - _TOP)))
+                out.append((s[first] + a, s[last] + a, mix(g[p[first]]) >> U64(64 - _TOP)))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(U64)
@@ -246,11 +247,11 @@ def _window_messages(data: np.ndarray, at: np.ndarray, ids: np.ndarray, row: np.
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     later = np.flatnonzero((doc > doc[lead]) & (size == size[lead]))
     same = np.zeros(len(later), bool)
-    for i in range(0, len(later), 50_000):  # the same bytes, not just the same hash
-        x = later[i : i + 50_000]
+    for i in range(0, len(later), 20_000):  # the same bytes, not just the same hash
+        x = later[i : i + 20_000]
         c = np.arange(int(size[x].max()))
         inside = c < size[x][:, None]
-        same[i : i + 50_000] = ((data[np.minimum(lo[x][:, None] + c, len(data) - 1)] == data[np.minimum(lo[lead[x]][:, None] + c, len(data) - 1)]) | ~inside).all(axis=1)
+        same[i : i + 20_000] = ((data[np.minimum(lo[x][:, None] + c, len(data) - 1)] == data[np.minimum(lo[lead[x]][:, None] + c, len(data) - 1)]) | ~inside).all(axis=1)
     known = np.zeros(len(row), bool)
     known[later[same]] = True
     start = lo - at[row]
@@ -304,45 +305,53 @@ def _union(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, byt
 
 
 def _repeats(d: np.ndarray, s: np.ndarray, z: np.ndarray, data: np.ndarray, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of covered stretches. Windows are worked on in parts by hash, so that an index stays small however many there are."""
     begin = np.cumsum(z) - z
     order = np.argsort(d["doc"], kind="stable")
     d, s, z, begin = d[order], s[order], z[order], begin[order]
     count = z - LENGTH + 1
-    index, hits = LogIndex(), []
-    ends = np.cumsum(count)
-    at = 0
-    while at < len(d):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + batch, "right")))
-        n = count[at:to]
-        entry = np.repeat(np.arange(at, to), n)
-        cell = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        ref = begin[entry] + cell
-        key = _window_hashes(data, begin[at:to], z[at:to])
-        doc = d["doc"][entry]
-        order = np.argsort(key, kind="stable")  # entries ascend by document
-        key, doc, ref, entry, cell = key[order], doc[order], ref[order], entry[order], cell[order]
-        first = np.concatenate(([True], key[1:] != key[:-1]))
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        earlier = index.scan(key, doc)
-        earlier = np.where((earlier < 0) & (doc[lead] < doc), ref[lead], earlier)
-        found = np.flatnonzero(earlier >= 0)
-        if len(found):
-            hits.append((entry[found], cell[found], ref[found], earlier[found]))
-        index.add(key[first], doc[first], ref[first])
-        at = to
-    if not hits:
+    first_window = np.cumsum(count) - count
+    keys = _window_hashes(data, begin, z)
+    hit = np.zeros(len(keys), bool)
+    parts = max(1, -(-len(keys) // (2 * batch)))
+    part_of = (keys >> U64(40)) % U64(parts) if parts > 1 else None
+    for part in range(parts):
+        mine = np.arange(len(keys)) if part_of is None else np.flatnonzero(part_of == U64(part))
+        index = LogIndex()
+        for i in range(0, len(mine), batch):
+            w = mine[i : i + batch]
+            entry = np.searchsorted(first_window, w, "right") - 1
+            doc, ref, key = d["doc"][entry], begin[entry] + w - first_window[entry], keys[w]
+            order = np.argsort(key, kind="stable")  # windows ascend by document
+            key, doc, ref, w = key[order], doc[order], ref[order], w[order]
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+            earlier = index.scan(key, doc)
+            earlier = np.where((earlier < 0) & (doc[lead] < doc), ref[lead], earlier)
+            found = np.flatnonzero(earlier >= 0)
+            _verify(data, ref[found], earlier[found])
+            hit[w[found]] = True
+            index.add(key[first], doc[first], ref[first])
+    if not hit.any():
         return d[:0], s[:0], s[:0]
-    entry, cell, ref, earlier = (np.concatenate(x) for x in zip(*hits, strict=True))
+    own = np.zeros(len(keys) + 1, bool)
+    own[first_window] = True
+    starts = np.flatnonzero(hit & (np.concatenate(([True], ~hit[:-1])) | own[:-1]))
+    ends = np.flatnonzero(hit & (np.concatenate((~hit[1:], [True])) | own[1:]))
+    entry = np.searchsorted(first_window, starts, "right") - 1
+    a = s[entry] + starts - first_window[entry]
+    return d[entry], a, a + (ends - starts) + LENGTH
+
+
+def _verify(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Windows of equal hash must have equal bytes."""
     c = np.arange(LENGTH)
-    for i in range(0, len(ref), 100_000):
-        x = slice(i, i + 100_000)
-        if not (data[ref[x][:, None] + c] == data[earlier[x][:, None] + c]).all():
+    for i in range(0, len(a), 20_000):
+        if not (data[a[i : i + 20_000, None] + c] == data[b[i : i + 20_000, None] + c]).all():
             raise ArithmeticError("two different windows have the same 64-bit hash; choose other values in bytetools")
-    a = s[entry] + cell
-    return d[entry], a, a + LENGTH
 
 
-def _window_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+def _window_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
     """Of all windows of the given stretches, in order."""
     out = []
     ends = np.cumsum(size)
@@ -374,7 +383,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     told = d.mapInArrow(_tell_anchors(buckets), _MESSAGE)
     shared = told.groupBy("bucket").applyInPandas(_shared_anchors(hot), "doc long, key long, data binary")
     asked = shared.groupBy("doc", "key").agg(F.collect_list("data").alias("data"))
-    texts = materialize(d.join(asked, ["doc", "key"]).dropDuplicates(["doc", "key"]).select("doc", "key", "text", "data"))
+    texts = materialize(d.join(asked, ["doc", "key"]).select("doc", "key", "text", "data"))
     windows = texts.mapInArrow(_tell_windows(buckets), _MESSAGE)
     covered = windows.groupBy("bucket").applyInPandas(_covered, "doc long, key long, data binary")
     spans = covered.groupBy("doc", "key").agg(F.collect_list("data").alias("data"))
@@ -393,7 +402,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
                 rows.append((doc, k, [{"start": a, "end": b} for a, b in p], b"".join([*left, raw[at:]])))
             yield _batch(rows, [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()], ["doc_id", "text_key", "spans", "kept"])
 
-    return texts.select("doc", "key", "text").join(spans, ["doc", "key"]).mapInArrow(cut, "doc_id long, text_key long, spans array<struct<start:long,end:long>>, kept binary")
+    return texts.select("doc", "key", "text").join(spans, ["doc", "key"]).mapInArrow(cut, "doc_id long, text_key long, spans array<struct<start:long,end:long>>, kept binary").dropDuplicates(["doc_id", "text_key"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

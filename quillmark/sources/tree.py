@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from ..functions.matches import line_count
 from ..operators import filters
@@ -102,7 +103,7 @@ def with_content(files: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(data).hexdigest())
             yield batch.take(pa.array(keep, pa.int64())).append_column("content", pa.array(content, pa.binary())).append_column("sha256", pa.array(digest, pa.string()))
 
-    schema = files.schema.add("content", "binary").add("sha256", "string") if "content" not in files.columns else files.schema
+    schema = StructType(list(files.schema.fields)).add("content", "binary").add("sha256", "string")
     out = files.mapInArrow(read, schema)
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return out.withColumn("text", text).withColumn("lines", line_count(F.col("text")))
