@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_SCRATCH = "/tmp/checkpoints"
+#: Has Spark delete a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(app: str = "quillmark", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -39,7 +41,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # nothing reads this query's shuffle files again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmark_path = path
     return out
