@@ -386,7 +386,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     texts = materialize(d.join(asked, ["doc", "key"]).select("doc", "key", "text", "data"))
     windows = texts.mapInArrow(_tell_windows(buckets), _MESSAGE)
     covered = windows.groupBy("bucket").applyInPandas(_covered, "doc long, key long, data binary")
-    spans = covered.groupBy("doc", "key").agg(F.collect_list("data").alias("data"))
+    spans = materialize(covered.groupBy("doc", "key").agg(F.collect_list("data").alias("data")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
