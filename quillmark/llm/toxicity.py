@@ -37,6 +37,7 @@ class Inputs:
     length: np.ndarray
     windows: np.ndarray
     text: np.ndarray  # of each window
+    hash: np.ndarray
 
 
 def prepare(data: np.ndarray, at: np.ndarray) -> Inputs:
@@ -57,7 +58,18 @@ def prepare(data: np.ndarray, at: np.ndarray) -> Inputs:
     begin, left = by_text[:-1][text] + place, n[text] - place
     cell = begin[:, None] + np.arange(WINDOW)
     windows = np.where(np.arange(WINDOW) < left[:, None], np.append(index, 0)[np.minimum(cell, len(index))], -1)
-    return Inputs((h[pick] % np.uint64(WORDS)).astype(np.int64), tri, first, length, windows.astype(np.int32), text)
+    return Inputs((h[pick] % np.uint64(WORDS)).astype(np.int64), tri, first, length, windows.astype(np.int32), text, h[pick])
+
+
+def joined(parts: list[Inputs]) -> Inputs:
+    """The inputs of several runs as one; a word of several runs stands once."""
+    h, pick, index = np.unique(np.concatenate([x.hash for x in parts]), return_index=True, return_inverse=True)
+    words = np.cumsum([0, *(len(x.hash) for x in parts)])
+    texts = np.cumsum([0, *(int(x.text[-1]) + 1 for x in parts)])  # each text has a window
+    tri = np.cumsum([0, *(len(x.trigrams) for x in parts)])
+    first, length = np.concatenate([x.first + t for x, t in zip(parts, tri, strict=False)])[pick], np.concatenate([x.length for x in parts])[pick]
+    windows = np.concatenate([np.where(x.windows >= 0, index[x.windows + w], -1).astype(np.int32) for x, w in zip(parts, words, strict=False)])
+    return Inputs(np.concatenate([x.bucket for x in parts])[pick], np.concatenate([x.trigrams for x in parts]), first, length, windows, np.concatenate([x.text + t for x, t in zip(parts, texts, strict=False)]), h)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -84,7 +96,7 @@ class Network:
         mean = np.add.reduceat(self.p["tri"][flat], first) / n[:, None].astype(np.float32) if len(n) else np.zeros((0, WIDTH), np.float32)
         return self.p["word"][x.bucket[words]] + mean, flat, n
 
-    def logits(self, x: Inputs, which: np.ndarray | None = None, chunk: int = 4096) -> np.ndarray:
+    def logits(self, x: Inputs, which: np.ndarray | None = None, chunk: int = 1024) -> np.ndarray:
         """Of all windows, or of some."""
         words = np.arange(len(x.bucket))
         e = np.concatenate([self.embed(x, words[i : i + 50_000])[0] for i in range(0, len(words), 50_000)] or [np.zeros((0, WIDTH), np.float32)])
@@ -187,9 +199,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, batch: int = B
         net.scale, net.shift = 0.0, float(np.log(p / (1 - p)))
         return net
     g, m, v = np.random.default_rng(seed), {n: np.zeros_like(a) for n, a in net.p.items()}, {n: np.zeros_like(a) for n, a in net.p.items()}
-    raw = [t.encode() for t in texts]
-    at = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
-    x = prepare(np.frombuffer(b"".join(raw), np.uint8), at)
+    x = joined([prepare(data, at) for _, _, data, at in runs(pa.array(texts, pa.large_string()))])
     y = labels[x.text]
     toxic, clean = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
     hard, best = clean, toxic
