@@ -168,7 +168,7 @@ def _tell_anchors(buckets: int):
     return each
 
 
-def _shared_anchors(hot: int):
+def _shared_anchors(hot: int, shards: int):
     def each(df: pd.DataFrame) -> pd.DataFrame:
         hs, docs, known, echo = [], [], [], []
         for kind, ids, n, rows, a, b in df[["kind", "ids", "n", "rows", "a", "b"]].itertuples(index=False):
@@ -184,20 +184,46 @@ def _shared_anchors(hot: int):
         repeated = np.logical_or.reduceat(k, first) | (np.minimum.reduceat(d["doc"], first) != np.maximum.reduceat(d["doc"], first))
         h = h | ((np.repeat(size, size) > hot).astype(U64) << U64(63))
         take = np.repeat(repeated, size) | e
-        return _per_document(d[take], h[take].tobytes(), 8)
+        return _to_documents(d[take], h[take].tobytes(), 8, shards)
 
     return each
 
 
-def _per_document(d: np.ndarray, data: bytes, width: int) -> pd.DataFrame:
-    """(doc, key, data): the entries of each document together."""
-    order = np.lexsort((d["key"], d["doc"]))
-    d, x = d[order], np.frombuffer(data, np.uint8).reshape(-1, width)[order]
-    if not len(d):
-        return pd.DataFrame({"doc": pd.Series([], dtype="int64"), "key": pd.Series([], dtype="int64"), "data": pd.Series([], dtype=object)})
-    first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-    ends = np.append(first[1:], len(d))
-    return pd.DataFrame({"doc": d["doc"][first], "key": d["key"][first], "data": [x[a:b].tobytes() for a, b in zip(first, ends, strict=True)]})
+_FOR_DOCUMENTS = "shard int, ids binary, counts binary, data binary"
+
+
+def _to_documents(d: np.ndarray, data: bytes, width: int, shards: int) -> pd.DataFrame:
+    """Entries of ``width`` bytes for documents, as one message to each shard of documents: documents, their counts, entries."""
+    shard = (mix(d["doc"].astype(np.int64).view(U64)) % U64(shards)).astype(np.int32)
+    order = np.lexsort((d["key"], d["doc"], shard))
+    d, shard, x = d[order], shard[order], np.frombuffer(data, np.uint8).reshape(-1, width)[order]
+    first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))[: len(d)]
+    counts = np.diff(np.append(first, len(d)))
+    rows = []
+    for k in np.unique(shard):
+        i, j = np.searchsorted(shard, [k, k + 1])
+        u, v = np.searchsorted(first, [i, j])
+        rows.append((k, d[first[u:v]].tobytes(), counts[u:v].astype("<i8").tobytes(), x[i:j].tobytes()))
+    return pd.DataFrame(rows, columns=["shard", "ids", "counts", "data"]).astype({"shard": "int32"})
+
+
+def _gathered(width: int):
+    """(doc, key, data): the entries of each document of a shard together."""
+
+    def each(df: pd.DataFrame) -> pd.DataFrame:
+        ids, counts = np.frombuffer(b"".join(df["ids"]), _PAIR), np.frombuffer(b"".join(df["counts"]), "<i8")
+        x, d = np.frombuffer(b"".join(df["data"]), np.uint8).reshape(-1, width), np.repeat(ids, counts)
+        order = np.lexsort((d["key"], d["doc"]))
+        d, x = d[order], x[order]
+        first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        ends = np.append(first[1:], len(d))
+        return pd.DataFrame({"doc": d["doc"][first], "key": d["key"][first], "data": [x[a:b].tobytes() for a, b in zip(first, ends, strict=True)]})
+
+    return each
+
+
+def _by_document(messages: DataFrame, width: int) -> DataFrame:
+    return messages.groupBy("shard").applyInPandas(_gathered(width), "doc long, key long, data binary")
 
 
 def _tell_windows(buckets: int):
@@ -207,7 +233,7 @@ def _tell_windows(buckets: int):
             for a, b, data, at in runs(batch.column(2), RUN):
                 ids = _pairs(batch, a, b)
                 row, lo, hi, h = anchors(data, at)
-                want = [np.frombuffer(b"".join(x), "<u8") for x in asked[a:b]]
+                want = [np.frombuffer(x, "<u8") for x in asked[a:b]]
                 owner = np.repeat(np.arange(b - a), [len(x) for x in want])
                 want = np.concatenate(want)
                 mark = U64((1 << 63) - 1)
@@ -270,23 +296,27 @@ def _window_messages(data: np.ndarray, at: np.ndarray, ids: np.ndarray, row: np.
     return out
 
 
-def _covered(df: pd.DataFrame) -> pd.DataFrame:
-    """Steps 3: (doc, key, data): ranges of covered bytes as pairs of 64-bit numbers."""
-    docs, starts, sizes, blobs, ready = [], [], [], [], []
-    for kind, ids, n, rows, a, b, c in df[["kind", "ids", "n", "rows", "a", "b", "c"]].itertuples(index=False):
-        d, s, z = _documents(ids, rows, n), np.frombuffer(a, "<i8"), np.frombuffer(b, np.uint8).astype(np.int64)
-        if kind == 1:
-            ready.append((d, s, s + z))
-        else:
-            docs.append(d)
-            starts.append(s)
-            sizes.append(z)
-            blobs.append(np.frombuffer(c, np.uint8))
-    if docs:
-        d, s, z, data = (np.concatenate(x) for x in (docs, starts, sizes, blobs))
-        ready.append(_repeats(d, s, z, data))
-    d, a, b = (np.concatenate(x) for x in zip(*ready, strict=True))
-    return _per_document(*_union(d, a, b), 16)
+def _covered(shards: int):
+    """Step 3: ranges of covered bytes, as pairs of 64-bit numbers, for the documents."""
+
+    def each(df: pd.DataFrame) -> pd.DataFrame:
+        docs, starts, sizes, blobs, ready = [], [], [], [], []
+        for kind, ids, n, rows, a, b, c in df[["kind", "ids", "n", "rows", "a", "b", "c"]].itertuples(index=False):
+            d, s, z = _documents(ids, rows, n), np.frombuffer(a, "<i8"), np.frombuffer(b, np.uint8).astype(np.int64)
+            if kind == 1:
+                ready.append((d, s, s + z))
+            else:
+                docs.append(d)
+                starts.append(s)
+                sizes.append(z)
+                blobs.append(np.frombuffer(c, np.uint8))
+        if docs:
+            d, s, z, data = (np.concatenate(x) for x in (docs, starts, sizes, blobs))
+            ready.append(_repeats(d, s, z, data))
+        d, a, b = (np.concatenate(x) for x in zip(*ready, strict=True))
+        return _to_documents(*_union(d, a, b), 16, shards)
+
+    return each
 
 
 def _union(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -381,18 +411,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // bucket_bytes))
     told = d.mapInArrow(_tell_anchors(buckets), _MESSAGE)
-    shared = told.groupBy("bucket").applyInPandas(_shared_anchors(hot), "doc long, key long, data binary")
-    asked = shared.groupBy("doc", "key").agg(F.collect_list("data").alias("data"))
+    shared = told.groupBy("bucket").applyInPandas(_shared_anchors(hot, buckets), _FOR_DOCUMENTS)
+    asked = _by_document(shared, 8)
     texts = materialize(d.join(asked, ["doc", "key"]).select("doc", "key", "text", "data"))
     windows = texts.mapInArrow(_tell_windows(buckets), _MESSAGE)
-    covered = windows.groupBy("bucket").applyInPandas(_covered, "doc long, key long, data binary")
-    spans = materialize(covered.groupBy("doc", "key").agg(F.collect_list("data").alias("data")))
+    covered = windows.groupBy("bucket").applyInPandas(_covered(buckets), _FOR_DOCUMENTS)
+    spans = materialize(_by_document(covered, 16))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, k, text, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw, p = text.encode(), np.frombuffer(b"".join(data), "<i8").reshape(-1, 2)
+                raw, p = text.encode(), np.frombuffer(data, "<i8").reshape(-1, 2)
                 one = np.zeros(len(p), _PAIR)
                 _, merged = _union(one, p[:, 0], p[:, 1])
                 p, at, left = np.frombuffer(merged, "<i8").reshape(-1, 2).tolist(), 0, []
