@@ -10,7 +10,9 @@ equal windows have equal anchors, wherever they stand. Four steps, of which each
    and each window is merged a logarithmic number of times. Hits are verified byte by byte.
 4. Covered bytes of a document are removed.
 
-Buckets are as many as the input asks for. An anchor that very many runs have is dealt by window, so no bucket depends on it.
+Buckets are as many as the input asks for. An anchor that very many runs have is dealt by window, so no bucket depends on it. Its own
+bucket alone decides that, and the answer holds for all documents: equal windows meet in one bucket whatever the threshold. These
+anchors go to every task; they are fewer than one for each HOT_RUNS bytes of text.
 """
 
 from __future__ import annotations
@@ -181,8 +183,9 @@ def _shared_anchors(hot: int, shards: int):
         h, d, k, e = h[order], d[order], k[order], e[order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.append(first, len(h)))
+        leads = np.add.reduceat(~e, first, dtype=np.int64)  # runs; an echo's own bucket may be another one
         repeated = np.logical_or.reduceat(k, first) | (np.minimum.reduceat(d["doc"], first) != np.maximum.reduceat(d["doc"], first))
-        h = h | ((np.repeat(size, size) > hot).astype(U64) << U64(63))
+        h = h | ((np.repeat(leads, size) > hot).astype(U64) << U64(63))
         take = np.repeat(repeated, size) | e
         return _to_documents(d[take], h[take].tobytes(), 8, shards)
 
@@ -226,7 +229,21 @@ def _by_document(messages: DataFrame, width: int) -> DataFrame:
     return messages.groupBy("shard").applyInPandas(_gathered(width), "doc long, key long, data binary")
 
 
-def _tell_windows(buckets: int):
+def _hot_anchors(texts: DataFrame) -> np.ndarray:
+    """The anchors that their own buckets marked, sorted. Others of an anchor's documents may not have the mark."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(0, U64)
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")
+            found = np.union1d(found, x[x >> U64(63) > 0] & U64((1 << 63) - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
+
+    rows = texts.select("data").mapInArrow(each, "h long").distinct().toArrow()
+    return np.sort(rows.column(0).to_numpy().view(U64))
+
+
+def _tell_windows(buckets: int, hot_anchors: np.ndarray):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column(3).to_pylist()
@@ -241,14 +258,13 @@ def _tell_windows(buckets: int):
                 w, mine = np.zeros(len(want), dt), np.zeros(len(h), dt)
                 w["r"], w["h"], mine["r"], mine["h"] = owner, want & mark, row, h
                 order = np.argsort(w, order=("r", "h"))
-                w, want = w[order], want[order]
+                w = w[order]
                 code_w = mix(w["h"] + mix(w["r"].astype(U64)))
                 code_m = mix(mine["h"] + mix(mine["r"].astype(U64)))
-                o = np.argsort(code_w)
-                code_w, want = code_w[o], want[o]
+                code_w = np.sort(code_w)
                 place = np.minimum(np.searchsorted(code_w, code_m), max(0, len(code_w) - 1))
                 take = code_w[place] == code_m if len(code_w) else np.zeros(len(h), bool)
-                hot = take & ((want[place] >> U64(63)) > 0) if len(code_w) else take
+                hot = take & np.isin(h, hot_anchors)
                 if hot.any():  # each window on its own
                     i = np.flatnonzero(hot)
                     n = hi[i] - lo[i] + 1
@@ -414,7 +430,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     shared = told.groupBy("bucket").applyInPandas(_shared_anchors(hot, buckets), _FOR_DOCUMENTS)
     asked = _by_document(shared, 8)
     texts = materialize(d.join(asked, ["doc", "key"]).select("doc", "key", "text", "data"))
-    windows = texts.mapInArrow(_tell_windows(buckets), _MESSAGE)
+    windows = texts.mapInArrow(_tell_windows(buckets, _hot_anchors(texts)), _MESSAGE)
     covered = windows.groupBy("bucket").applyInPandas(_covered(buckets), _FOR_DOCUMENTS)
     spans = materialize(_by_document(covered, 16))
 

@@ -59,6 +59,22 @@ def test_equals_brute_force(spark, how):
     assert found(spark, docs, **how) == want
 
 
+@pytest.mark.parametrize("hot", [1, 3, 6])
+def test_a_threshold_in_between_does_not_change_the_result(spark, hot):
+    docs = fixture(7)
+    g = random.Random(8)
+    line = "a line that stands in very many documents and is longer than any window is"
+    docs += [(1000 + i, f"{g.random()} {line} {g.random()}") for i in range(60)]
+    want = {d: x[1:] for d, x in brute(docs).items() if x[1]}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "9")  # several runs, each of several documents
+    try:
+        assert found(spark, docs, bucket_bytes=2000, hot=hot) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_levels_of_the_index_stay_geometric():
     index, seen, g = suffixes.LogIndex(), {}, np.random.default_rng(2)
     for doc in range(40):
