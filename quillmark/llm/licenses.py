@@ -43,16 +43,18 @@ def block_size(templates: dict[str, str]) -> int:
 
 
 def blocks(text: Column, size: int) -> Column:
-    """Word arrays of the text blocks: each line, or of a line of over 2 x size words all windows of 2 x size words at steps of size.
+    """Word arrays of the text blocks: each line and the whole text, or of one of over 2 x size words all windows of 2 x size words at steps of size.
 
-    So each run of up to ``size`` words of a line is within a block.
+    So each run of up to ``size`` words is within a block, across line breaks too, and so is each line of up to 2 x size words.
     """
 
     def cut(w: Column) -> Column:
         starts = F.when(F.size(w) > 2 * size, F.sequence(F.lit(0), F.size(w) - size - 1, F.lit(size))).otherwise(F.array(F.lit(0)))
         return F.transform(starts, lambda s: F.slice(w, s + 1, 2 * size))
 
-    return F.flatten(F.transform(F.split(text, "\n", -1), lambda line: cut(words(line))))
+    lines = F.split(text, "\n", -1)
+    pieces = F.when(F.size(lines) > 1, F.array_append(lines, text)).otherwise(lines)
+    return F.flatten(F.transform(pieces, lambda piece: cut(words(piece))))
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

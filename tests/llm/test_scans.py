@@ -46,6 +46,20 @@ def test_licenses_equal_plain_search(spark):
     assert licenses.scan_licenses(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n# ", "\n\n"])
+def test_wrapped_notices_are_found(spark, end):
+    docs = []
+    for i, t in enumerate(licenses.TEMPLATES.values()):
+        w = t.split()
+        docs.append((i, "other words " * 40 + end + end.join(" ".join(w[k : k + 5]) for k in range(0, len(w), 5)) + end + "more words " * 40))
+    # what one long line has further apart than a template is long is still found
+    w = licenses.TEMPLATES["mit-terms"].split()
+    docs.append((50, "first line" + end + " ".join(w[:10]) + " x" * 8 + " " + " ".join(w[10:]) + end + "last line"))
+    got = {r["id"]: r for r in licenses.scan_licenses(documents(spark, docs)).collect()}
+    for i, label in [*enumerate(licenses.TEMPLATES), (50, "mit-terms")]:
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1
+
+
 def test_urls_equal_plain_rules(spark):
     rules = [*urls.RULES, urls.Rule("allow", "", "/en/"), urls.Rule("block", "a.b.com", "/x/y"), urls.Rule("allow", "b.com", "/x/"), urls.Rule("block", "", "")]
     g = random.Random(3)
