@@ -98,16 +98,21 @@ _SKETCHED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("content", pa.bin
 
 
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES, size: int = TUPLE) -> DataFrame:
-    """(id, n, content, sketch): number of k-mers, 128-bit hash of the word sequence, sketch values; without words no sketch and a null content."""
+    """(id, n, content, sketch): number of k-mers, 128-bit hash of the word sequence, sketch values; without words no sketch and the hash of the bytes, of null texts null."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, at in runs(batch.column(1)):
                 h, _, _, by_text = word_hashes(data, at)
                 rows = []
-                for w in np.split(h, by_text[1:-1]):
+                present = batch.column(1).slice(a, b - a).is_valid().to_pylist()
+                for i, w in enumerate(np.split(h, by_text[1:-1])):
                     e = kmers(w, k)
-                    rows.append((len(e), hashlib.blake2b(w.tobytes(), digest_size=16).digest(), sketch(e, sketches, size).tolist()) if len(e) else (0, None, []))
+                    if len(e):
+                        rows.append((len(e), hashlib.blake2b(w.tobytes(), digest_size=16).digest(), sketch(e, sketches, size).tolist()))
+                    else:
+                        raw = data[at[i] : at[i + 1]].tobytes()
+                        rows.append((0, hashlib.blake2b(raw, digest_size=16, person=b"no words").digest() if present[i] else None, []))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t.type) for c, t in zip(cols, list(_SKETCHED)[1:], strict=True))], schema=_SKETCHED)
 
@@ -185,8 +190,8 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     Texts of the same words in the same order are copies; classes are the connected components of copies and similar pairs. First
     each bucket's smallest id is held against the others. Then, in buckets whose members are still of several components, all
     pairs from different components are: within a component no pair could change the result. Buckets of over FEW members are
-    compared in blocks of a stated size, which give a forest of links instead of pairs. Null and empty texts and texts
-    without words are classes of their own. Rows with a null id are left out; of rows that repeat an id the one of the smallest
+    compared in blocks of a stated size, which give a forest of links instead of pairs. Texts without words are copies if
+    their bytes are the same; null texts are classes of their own. Rows with a null id are left out; of rows that repeat an id the one of the smallest
     content counts. Other columns are ignored.
     """
     all_rows = sketched(docs, id_col, text_col, k, sketches).groupBy("id").agg(F.min(F.struct("content", "n", "sketch")).alias("x"))

@@ -117,6 +117,12 @@ def test_rows_that_stay(spark):
     assert classes(ordermin.near_texts(documents(spark, []))) == {}
 
 
+def test_copies_without_words_are_a_class(spark):
+    rows = [(4, "-----"), (2, "-----"), (9, "----"), (6, "-----"), (1, " \n"), (3, " \n"), (5, None), (7, None), (8, ""), (10, ""), (11, "a text of words"), (12, "A text of words --")]
+    got = classes(ordermin.near_texts(documents(spark, rows)))
+    assert got == {4: 2, 2: 2, 6: 2, 9: 9, 1: 1, 3: 1, 5: 5, 7: 7, 8: 8, 10: 8, 11: 11, 12: 11}
+
+
 def test_components(spark):
     g = random.Random(4)
     links = [(g.randrange(150), g.randrange(150)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(60)] + [(400, 400 + i) for i in range(50)] + [(7, 7), (None, 3)]
