@@ -1,12 +1,12 @@
-"""Exact removal of long byte strings that an earlier document has: suffix arrays in a logarithmic index family.
+"""Exact removal of long byte strings that an earlier document has: sorted window hashes in a logarithmic index family.
 
 A window is a string of LENGTH bytes. Its anchor is the smallest hash among its GRAM-byte substrings (the leftmost of equal ones), so
 equal windows have equal anchors, wherever they stand. Four steps, of which each moves only what the one before let through:
 
 1. Each run of documents gives the distinct anchors, dealt to buckets by hash; a bucket tells which ones several documents have.
 2. Documents with such anchors give the bytes of the windows around them (consecutive windows of one anchor share their bytes).
-3. A bucket sorts its windows in batches of ascending documents. Each batch becomes a suffix array (of the windows' 64-bit hashes) that is
-   merge-scanned against the levels of the index and then joins it; levels of about equal size merge, so sizes are geometric
+3. A bucket sorts its windows in batches of ascending documents. Each batch becomes a list sorted by the windows' 64-bit hashes (no
+   suffix array) that is looked up in the levels of the index and then joins it; levels of about equal size merge, so sizes are geometric
    and each window is merged a logarithmic number of times. Hits are verified byte by byte.
 4. Covered bytes of a document are removed.
 
