@@ -57,12 +57,11 @@ SELECT CASE WHEN p_partkey % 3 = 0 THEN 'src/test/' ELSE 'src/' END || brand ||
 FROM (SELECT p_partkey, replace(lower(p_brand), '#', '') AS brand FROM part) p
 LEFT JOIN (SELECT p_partkey AS pk, {{agg}} AS body FROM (
     SELECT p_partkey, rn, {case(2, True)} AS piece FROM (
-        SELECT l_partkey AS p_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice) AS rn FROM lineitem) x{{cap}}) y GROUP BY p_partkey) b ON p.p_partkey = b.pk"""
+        SELECT l_partkey AS p_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice) AS rn FROM lineitem) x) y GROUP BY p_partkey) b ON p.p_partkey = b.pk"""
 
 
-SPARK = {"sha": "sha2(CAST(text AS BINARY), 256)", "agg": "listagg(piece, '') WITHIN GROUP (ORDER BY rn)", "cap": ""}
-#: The comparison's SQL still has five methods a file at most; the corpus has all of lineitem.
-DUCK = {"sha": "sha256(text)", "agg": "string_agg(piece, '' ORDER BY rn)", "cap": " WHERE rn <= 5"}
+SPARK = {"sha": "sha2(CAST(text AS BINARY), 256)", "agg": "listagg(piece, '') WITHIN GROUP (ORDER BY rn)"}
+DUCK = {"sha": "sha256(text)", "agg": "string_agg(piece, '' ORDER BY rn)"}
 SQL = {"text_files": text_files_sql, "prev": lambda: snapshots_sql("prev"), "curr": lambda: snapshots_sql("curr"), "code_files": _code_sql}
 
 
