@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import END_ID, encoder, text_runs
+from .tokens import END_ID, binary_array, encoder
 
 CAPACITY = 1024
 OPEN_BINS = 16384
@@ -68,18 +68,17 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_runs(texts):
-                rows = []
-                for doc, x in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
-                    x += end
-                    n = len(x) // 4
-                    bounds = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    rows += [(doc, i, s, e - s, x[4 * s : 4 * e]) for i, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False))]
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+            for a, b, ids, at in enc.encode_ended(batch.column(1), end_id):
+                n = np.diff(at)
+                pieces = -(-n // capacity)
+                row = np.repeat(np.arange(b - a), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = np.where(piece > 0, n[row] - (pieces[row] - piece) * capacity, 0)
+                end = n[row] - (pieces[row] - piece - 1) * capacity
+                stretches = binary_array(ids, np.append(at[row] + start, at[-1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(end - start), stretches.cast(pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 

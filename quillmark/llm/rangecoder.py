@@ -2,8 +2,10 @@
 
 A block is coded on its own: it starts with an empty model and has a checksum. Its distinct ids stand in its header; in
 the block an id is its rank among them. Three predictions are mixed: order 0 gives each rank its share by adaptive counts; orders 1
-and 2 (keyed by the last one and two ranks) each name one rank, with a confidence that hits raise and misses lower. How
-often predictions of that confidence hit is learnt as well and sets their weights. The mixture's interval drives a 64-bit range coder.
+and 2 (keyed by the last one and two ranks) each name the rank that came last in their context, with a confidence: how often in a
+row they were right. How often predictions of a confidence hit in this block sets their weights. An interval has a part for
+each order's weight, that of order 2 first, so equal names share one interval; a rank that no order names lies in the part of order 0.
+Shares and weights are renewed at the ends of stretches of steps. The interval drives a 64-bit range coder with carries.
 """
 
 from __future__ import annotations
@@ -15,12 +17,19 @@ import numpy as np
 
 BLOCK_IDS = 4096
 LANES = 2048
-MAGIC = b"QMRC\x01"
-SHARE_BITS, WEIGHT_BITS = 14, 8
+MAGIC = b"QMRC\x02"
+SHARE_BITS, WEIGHT_BITS = 13, 8
 TOTAL_BITS = SHARE_BITS + WEIGHT_BITS
 SHARES, WEIGHTS, TOTAL = 1 << SHARE_BITS, 1 << WEIGHT_BITS, 1 << TOTAL_BITS
+#: Cells for contexts of order 2, and confidences; a cell holds a rank and a confidence in 16 bits.
 CONTEXTS, CONFIDENCES = 4096, 16
-U64, LOW32 = np.uint64, np.uint64(0xFFFFFFFF)
+#: The cell of two ranks is (last * PAIR + the one before) modulo CONTEXTS.
+PAIR = 1031
+#: Steps after which shares and weights are renewed.
+STRETCHES = (0, 128, 384, 896, 1920, BLOCK_IDS)
+_PRIOR = np.array([0.02, *(k / (k + 1.5) for k in range(1, CONFIDENCES))])
+U64 = np.uint64
+TOP, WORD = U64(1 << 32), U64(32)
 
 
 class BlockError(ValueError):
@@ -28,106 +37,108 @@ class BlockError(ValueError):
 
 
 class _Model:
-    """The state of all lanes. ``sizes``: distinct ids of each lane; ``steps``: the longest lane."""
-
-    def __init__(self, sizes: np.ndarray):
-        n = self.n = len(sizes)
-        self.width = int(sizes.max()) + 1
-        self.sizes = sizes.astype(np.int32)
-        self.rows = np.arange(n, dtype=np.int64)
-        self.counts = (np.arange(self.width, dtype=np.int32)[None, :] < self.sizes[:, None]).astype(np.int32)
-        self.cum = np.zeros((n, self.width + 1), np.int32)
-        self.guess = [np.zeros((n, self.width), np.int16), np.zeros((n, CONTEXTS), np.int16)]
-        self.trust = [np.zeros((n, self.width), np.uint8), np.zeros((n, CONTEXTS), np.uint8)]
-        self.hit = [np.zeros((n, CONFIDENCES), np.int32), np.zeros((n, CONFIDENCES), np.int32)]
+    """The state of all lanes. ``sizes``: distinct ids of each lane; ``slots``: whether ranks are looked up by share."""
+
+    def __init__(self, sizes: np.ndarray, slots: bool):
+        n, self.width, self.sizes, self.slots = len(sizes), int(sizes.max()), sizes.astype(np.int64), slots
+        rows = np.arange(n)
+        self.by_width, self.by_context, self.by_confidence, self.by_share = rows * self.width, rows * CONTEXTS, rows * CONFIDENCES, rows * SHARES
+        self.counts = (np.arange(self.width)[None, :] < self.sizes[:, None]).astype(np.int32)
+        self.guess1, self.guess2 = np.zeros(n * self.width, np.uint16), np.zeros(n * CONTEXTS, np.uint16)
+        self.hits = [np.repeat((4 * np.stack((1 - _PRIOR, _PRIOR), axis=1))[None], n, axis=0) for _ in (1, 2)]  # lane, confidence, missed or hit
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.levels = np.max([int(self.width).bit_length(), 1])
-        self.share()
+        self.renew()
 
-    def share(self) -> None:
-        """Shares of SHARES by the counts; each rank that the lane has gets one at least."""
-        total = self.counts.sum(axis=1, dtype=np.int64)[:, None]
-        f = (self.counts * ((SHARES - self.sizes.astype(np.int64))[:, None] / total)).astype(np.int32)
+    def renew(self) -> None:
+        """Shares of SHARES by the counts, one at least for each rank that the lane has; weights by the hits."""
+        room = ((SHARES - self.sizes) / self.counts.sum(axis=1)).astype(np.float32)
+        f = (self.counts * room[:, None]).astype(np.int32)
         f += self.counts > 0
-        f[:, 0] += SHARES - f.sum(axis=1, dtype=np.int32)
-        np.cumsum(f, axis=1, out=self.cum[:, 1:])
-
-    def seen(self, ranks: np.ndarray, valid: np.ndarray) -> None:
-        """Counts a stretch of steps (steps x lanes)."""
-        flat = (self.rows[None, : ranks.shape[1]] * self.width + ranks)[valid]
-        np.add.at(self.counts.reshape(-1), flat, 24)
-        self.share()
+        f[:, 0] += SHARES - f.sum(axis=1)
+        start = np.cumsum(f, axis=1, dtype=np.int32)
+        start -= f
+        self.share = (start.view(np.uint32) << np.uint32(16) | f.view(np.uint32)).reshape(-1)
+        if self.slots:
+            self.rank_at = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), len(f)), f.reshape(-1))
+        p1, p2 = (h[:, :, 1] / h.sum(axis=2) for h in self.hits)
+        self.weight2 = np.clip((p2 * 250).astype(np.int32), 1, 240).reshape(-1)
+        self.weight1 = (p1 * 250).astype(np.int32).reshape(-1)
+
+    def seen(self, ranks: np.ndarray, said: np.ndarray, valid: np.ndarray | None) -> None:
+        """Counts a stretch (steps x lanes); said: see ``learn``. valid: None if all are."""
+        n = ranks.shape[1]
+        pick = (lambda x: x.reshape(-1)) if valid is None else (lambda x: x[valid])
+        self.counts[:n] += np.bincount(pick(ranks + self.by_width[:n]), minlength=n * self.width).reshape(n, -1).astype(np.int32)
+        cells = np.bincount(pick(said + (np.arange(n) << 10)), minlength=n << 10).reshape(n, 2, 2, CONFIDENCES, CONFIDENCES)  # lane, hits of 2, of 1, confidences of 2, of 1
+        self.hits[1][:n] += cells.sum(axis=(2, 4)).transpose(0, 2, 1)
+        self.hits[0][:n] += cells[:, 0].sum(axis=2).transpose(0, 2, 1)  # what order 2 missed
+        self.renew()
 
     def predict(self, k: int) -> None:
-        """For the first k lanes: guesses c1 and c2, and the weights of the orders."""
-        rows = self.rows[:k]
-        self.at = [rows * self.width + self.last[:k], rows * CONTEXTS + ((self.last[:k] * 1031 + self.before[:k] * 5) & (CONTEXTS - 1))]
-        g, self.conf, p = [], [], []
-        for o in (0, 1):
-            g.append(self.guess[o].reshape(-1).take(self.at[o]))
-            c = self.trust[o].reshape(-1).take(self.at[o])
-            self.conf.append(rows * CONFIDENCES + c)
-            p.append(self.hit[o].reshape(-1).take(self.conf[o]))
-        self.c1, self.c2 = g
-        self.w2 = (p[1] * 15) >> 8
-        self.w1 = (p[0] * (239 - self.w2)) >> 12
-        self.w0 = WEIGHTS - self.w1 - self.w2
+        """For the first k lanes: the ranks that orders 1 and 2 name, and the weights."""
+        self.at1 = self.by_width[:k] + self.last[:k]
+        self.at2 = self.by_context[:k] + ((self.last[:k] * PAIR + self.before[:k]) & (CONTEXTS - 1))
+        g1, g2 = self.guess1.take(self.at1), self.guess2.take(self.at2)
+        self.k1, self.k2, self.c1, self.c2 = g1 & 15, g2 & 15, g1 >> 4, g2 >> 4
+        self.w2 = self.weight2.take(self.by_confidence[:k] + self.k2)
+        self.w1 = np.maximum((self.weight1.take(self.by_confidence[:k] + self.k1) * (248 - self.w2)) >> WEIGHT_BITS, 1)
+        self.named = self.w1 + self.w2
+
+    def intervals(self, r: np.ndarray, said: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width, of TOTAL, of rank r (steps x lanes), of which said is known."""
+        n = r.shape[1]
+        w2 = self.weight2.take(self.by_confidence[:n] + (said >> 4 & 15))
+        w1 = np.maximum((self.weight1.take(self.by_confidence[:n] + (said & 15)) * (248 - w2)) >> WEIGHT_BITS, 1)
+        return self._interval(self.share.take(self.by_width[:n] + r), w1, w2, w1 + w2, said >> 8 & 1 > 0, said >> 9 > 0)
+
+    def _interval(self, share: np.ndarray, w1: np.ndarray, w2: np.ndarray, named: np.ndarray, ok1: np.ndarray, ok2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w0 = WEIGHTS - named
+        start = (named << SHARE_BITS) + w0 * (share >> 16).view(np.int32)
+        width = w0 * (share & 0xFFFF).view(np.int32)
+        i = ok1.nonzero()
+        start[i], width[i] = w2[i] << SHARE_BITS, w1[i] << SHARE_BITS
+        i = ok2.nonzero()
+        start[i], width[i] = 0, np.where(ok1[i], named[i], w2[i]) << SHARE_BITS
+        return start.astype(U64), width.astype(U64)
 
     def interval(self, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width, of TOTAL, of rank r in each of the first k lanes."""
-        cell = self.rows[:k] * (self.width + 1) + r
-        flat = self.cum.reshape(-1)
-        a = flat.take(cell)
-        f = flat.take(cell + 1) - a
-        low = a * self.w0 + ((self.w1 * (self.c1 < r) + self.w2 * (self.c2 < r)) << SHARE_BITS)
-        return low, f * self.w0 + ((self.w1 * (self.c1 == r) + self.w2 * (self.c2 == r)) << SHARE_BITS)
+        """For rank r in each of the first k lanes, after ``predict``; sets which orders named it."""
+        self.ok1, self.ok2 = self.c1 == r, self.c2 == r
+        return self._interval(self.share.take(self.by_width[:k] + r), self.w1, self.w2, self.named, self.ok1, self.ok2)
 
     def find(self, t: np.ndarray, k: int) -> np.ndarray:
         """The rank in whose interval t lies."""
-        lo1, f1 = self.interval(self.c1.astype(np.int64), k)
-        lo2, f2 = self.interval(self.c2.astype(np.int64), k)
-        rest = t - ((self.w1 * (t >= lo1 + f1) + self.w2 * (t >= lo2 + f2)) << SHARE_BITS)
-        q = rest // self.w0
-        flat, base = self.cum.reshape(-1), self.rows[:k] * (self.width + 1)
-        r = np.zeros(k, np.int64)
-        for level in range(self.levels, -1, -1):
-            cand = np.minimum(r + (1 << level), self.width)
-            r = np.where(flat.take(base + cand) <= q, cand, r)
-        r = np.minimum(r, self.sizes[:k] - 1)
-        r = np.where((t >= lo1) & (t < lo1 + f1), self.c1, r)
-        return np.where((t >= lo2) & (t < lo2 + f2), self.c2, r).astype(np.int64)
-
-    def learn(self, r: np.ndarray, k: int) -> None:
-        for o, guess in ((0, self.c1), (1, self.c2)):
-            ok = guess == r
-            p = self.hit[o].reshape(-1)
-            old = p.take(self.conf[o])
-            p[self.conf[o]] = old + np.where(ok, (4095 - old + 15) >> 4, -(old >> 4))
-            trust = self.trust[o].reshape(-1)
-            c = trust.take(self.at[o])
-            trust[self.at[o]] = np.where(ok, np.minimum(c + 1, CONFIDENCES - 1), np.where(c > 0, c >> 1, 1))
-            self.guess[o].reshape(-1)[self.at[o]] = np.where(ok | (c > 0), guess, r)
+        rest = t - (self.named << SHARE_BITS)
+        named = (rest < 0).nonzero()[0]
+        rest[named] = 0
+        r = self.rank_at.take(self.by_share[:k] + np.minimum(rest // (WEIGHTS - self.named), SHARES - 1))
+        r[named] = np.where(t[named] < self.w2[named] << SHARE_BITS, self.c2[named], self.c1[named])
+        return r
+
+    def learn(self, r: np.ndarray, k: int) -> np.ndarray:
+        """Returns confidences and hits as one number a lane: 4 bits for each order's confidence, a bit for each order's hit."""
+        own, ok1, ok2 = r << 4, self.ok1.view(np.uint8).astype(np.uint16), self.ok2.view(np.uint8).astype(np.uint16)
+        said = self.k1 | self.k2 << 4 | ok1 << 8 | ok2 << 9
+        self.guess1[self.at1] = own | np.minimum(self.k1 * ok1 + 1, CONFIDENCES - 1)
+        self.guess2[self.at2] = own | np.minimum(self.k2 * ok2 + 1, CONFIDENCES - 1)
         self.before[:k] = self.last[:k]
         self.last[:k] = r
-
-
-def _schedule(steps: int) -> list[tuple[int, int]]:
-    """Stretches after which the shares are renewed."""
-    out, a, size = [], 0, 16
-    while a < steps:
-        out.append((a, min(a + size, steps)))
-        a, size = a + size, min(256, size * 2)
-    return out
+        return said
 
 
 def _varints(x: np.ndarray) -> bytes:
-    out = bytearray()
-    for v in x.tolist():
-        while v >= 128:
-            out.append(v & 127 | 128)
-            v >>= 7
-        out.append(v)
-    return bytes(out)
+    """Seven bits a byte, the lowest first; all but a number's last byte have the top bit set."""
+    x = x.astype(np.int64)
+    top = max(1, -(-int(x.max(initial=0)).bit_length() // 7))
+    sizes = np.ones(len(x), np.int64)
+    for k in range(1, top):
+        sizes += x >= 1 << 7 * k
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8)
+    for k in range(top):
+        some = np.flatnonzero(sizes > k)
+        out[ends[some] - sizes[some] + k] = x[some] >> 7 * k & 127 | (sizes[some] > k + 1) * 128
+    return out.tobytes()
 
 
 def _read_varints(data: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
@@ -142,64 +153,120 @@ def _read_varints(data: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
     return np.add.reduceat((b[:size] & 127).astype(np.int64) << (7 * place), starts) if n else np.zeros(0, np.int64), at + size
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct ids, and the rank of each id among them."""
+    if not len(ids) or int(ids.max()) >= 1 << 16:
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(1 << 16, bool)
+    there[ids] = True
+    kinds = np.flatnonzero(there)
+    rank = np.empty(1 << 16, np.uint16)
+    rank[kinds] = np.arange(len(kinds))
+    return kinds.astype(np.uint32), rank[ids]
+
+
+def _said(context: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(confidence, hit) at each place of a block for one order, as the decoder will have them: the name in a context is the rank that came last in it."""
+    order = np.argsort(context, kind="stable")
+    c, x, at = context[order], r[order], np.arange(len(r))
+    first = np.ones(len(r), bool)
+    first[1:] = c[1:] != c[:-1]
+    hit = np.zeros(len(r), bool)
+    hit[1:] = x[1:] == x[:-1]
+    hit[first] = x[first] == 0  # a new cell names rank 0
+    run = np.where(hit & ~first, 0, at)
+    after = np.minimum(1 + at - np.maximum.accumulate(run), CONFIDENCES - 1)
+    confidence = np.zeros(len(r), np.uint16)
+    confidence[1:] = after[:-1]
+    confidence[first] = 0
+    out, ok = np.empty(len(r), np.uint16), np.empty(len(r), np.uint16)
+    out[order], ok[order] = confidence, hit
+    return out, ok
+
+
+def _contexts(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    last, before = np.zeros(len(r), np.uint16), np.zeros(len(r), np.uint16)
+    last[1:], before[2:] = r[:-1], r[:-2]
+    return last, (last * np.uint32(PAIR) + before & np.uint32(CONTEXTS - 1)).astype(np.uint16)
+
+
+def _by_length(lengths: list[int]) -> list[list[int]]:
+    """Indices in groups of up to LANES, the longest first."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    return [order[a : a + LANES] for a in range(0, len(order), LANES)]
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block (up to 8,192 unsigned 32-bit ids) as bytes."""
+    """Each block (up to BLOCK_IDS unsigned 32-bit ids) as bytes."""
     out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    for a in range(0, len(order), LANES):
-        some = order[a : a + LANES]
+    for some in _by_length([len(b) for b in blocks]):
         for i, x in zip(some, _encode([np.asarray(blocks[i], np.uint32) for i in some]), strict=True):
             out[i] = x
     return out
 
 
+def _stretches(lengths: np.ndarray):
+    """(first step, end step, validity or None) of each stretch, and the lanes that are active at each step, the longest first."""
+    steps = int(lengths[0])
+    for a, b in zip(STRETCHES, STRETCHES[1:], strict=False):
+        b = min(b, steps)
+        if a < b:
+            n = int((lengths > a).sum())
+            yield a, b, None if lengths[n - 1] >= b else np.arange(a, b)[:, None] < lengths[None, :n], n
+
+
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
-    if not len(blocks) or lengths.max() == 0:
-        return [_frame(b, np.zeros(0, np.uint32), b"") for b in blocks]
-    if lengths.max() > 2 * BLOCK_IDS:
+    if lengths[0] > BLOCK_IDS:
         raise ValueError("a block is too long")
-    steps, live = int(lengths.max()), int((lengths > 0).sum())
-    kinds, ranks = [], np.zeros((steps, live), np.int64)
-    for j, b in enumerate(blocks[:live]):
-        u, inv = np.unique(b, return_inverse=True)
-        kinds.append(u)
-        ranks[: len(b), j] = inv
-    m = _Model(np.array([len(u) for u in kinds]))
-    low, rng = np.zeros(live, U64), np.full(live, 2**64 - 1, U64)
-    words, used = np.zeros((live, steps + 4), np.uint32), np.zeros(live, np.int64)
-    active = (lengths[None, :live] > np.arange(steps)[:, None]).sum(axis=1)
-    for a, b in _schedule(steps):
-        for s in range(a, b):
-            k = int(active[s])
-            r = ranks[s, :k]
-            m.predict(k)
-            start, width = m.interval(r, k)
-            unit = rng[:k] >> U64(TOTAL_BITS)
-            low[:k] += unit * start.astype(U64)
-            rng[:k] = unit * width.astype(U64)
-            m.learn(r, k)
-            _emit(low, rng, k, words, used)
-        m.seen(ranks[a:b], np.arange(a, b)[:, None] < lengths[None, :live])
-    words[np.arange(live), used], words[np.arange(live), used + 1] = (low >> U64(32)).astype(np.uint32), (low & LOW32).astype(np.uint32)
-    used += 2
-    return [_frame(b, kinds[j] if j < live else np.zeros(0, np.uint32), words[j, : used[j]].astype("<u4").tobytes() if j < live else b"") for j, b in enumerate(blocks)]
-
-
-def _narrow(low: np.ndarray, rng: np.ndarray, k: int) -> np.ndarray:
-    """Lanes whose leading 32 bits are settled; where a short range still straddles, it is cut off at the border."""
-    i = np.flatnonzero(rng[:k] < U64(1 << 32))
-    x, y = low[i], rng[i]
-    across = ((x ^ (x + y)) >> U64(32)) != 0
-    rng[i] = np.where(across, (~x + U64(1)) & LOW32, y) << U64(32)
-    return i
-
-
-def _emit(low: np.ndarray, rng: np.ndarray, k: int, words: np.ndarray, used: np.ndarray) -> None:
-    i = _narrow(low, rng, k)
-    words[i, used[i]] = (low[i] >> U64(32)).astype(np.uint32)
-    used[i] += 1
-    low[i] <<= U64(32)
+    live = int((lengths > 0).sum())
+    kinds, payload = [np.zeros(0, np.uint32)] * len(blocks), [b""] * len(blocks)
+    if live:
+        lengths = lengths[:live]
+        steps = int(lengths[0])
+        ranks, told = np.zeros((live, steps), np.uint16), np.zeros((live, steps), np.uint16)
+        for j, b in enumerate(blocks[:live]):
+            kinds[j], r = _distinct(b)
+            ranks[j, : len(b)] = r = r.astype(np.uint16)
+            (k1, ok1), (k2, ok2) = (_said(c, r) for c in _contexts(r))
+            told[j, : len(b)] = k1 | k2 << 4 | ok1 << 8 | ok2 << 9
+        ranks, told = np.ascontiguousarray(ranks.T).astype(np.int64), np.ascontiguousarray(told.T)
+        m = _Model(np.array([len(u) for u in kinds[:live]]), False)
+        low, rng = np.zeros(live, U64), np.full(live, 2**64 - 1, U64)
+        words, used = np.zeros((live, steps * TOTAL_BITS // 32 + 4), np.uint32), np.zeros(live, np.int64)
+        active = (lengths[None, :] > np.arange(steps)[:, None]).sum(axis=1)
+        for a, b, valid, n in _stretches(lengths):
+            for s in range(a, b, 64):
+                z = slice(s, min(s + 64, b))
+                starts, widths = m.intervals(ranks[z, :n], told[z, :n])
+                for i, k in enumerate(active[z].tolist()):
+                    unit = rng[:k] >> U64(TOTAL_BITS)
+                    start = starts[i, :k] * unit
+                    sums = low[:k] + start
+                    over = (sums < start).nonzero()[0]  # a carry
+                    low[:k] = sums
+                    if len(over):
+                        _carry(words, over, used[over] - 1)
+                    np.multiply(unit, widths[i, :k], out=rng[:k])
+                    full = (rng[:k] < TOP).nonzero()[0]
+                    at = used[full]
+                    words[full, at] = low[full] >> WORD
+                    used[full] = at + 1
+                    low[full] <<= WORD
+                    rng[full] <<= WORD
+            if b < steps:
+                m.seen(ranks[a:b, :n], told[a:b, :n], valid)
+        words[np.arange(live), used], words[np.arange(live), used + 1] = low >> WORD, low & (TOP - U64(1))
+        used += 2
+        payload[:live] = [words[j, : used[j]].astype("<u4").tobytes() for j in range(live)]
+    return [_frame(*x) for x in zip(blocks, kinds, payload, strict=True)]
+
+
+def _carry(words: np.ndarray, lane: np.ndarray, at: np.ndarray) -> None:
+    while len(lane):
+        words[lane, at] += np.uint32(1)
+        on = words[lane, at] == 0
+        lane, at = lane[on], at[on] - 1
 
 
 def _frame(ids: np.ndarray, kinds: np.ndarray, payload: bytes) -> bytes:
@@ -212,11 +279,11 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; BlockError if one is damaged."""
     parsed = [_parse(b) for b in blocks]
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
-    order = sorted((i for i in range(len(blocks)) if parsed[i][0]), key=lambda i: -parsed[i][0])
-    for a in range(0, len(order), LANES):
-        some = order[a : a + LANES]
-        for i, x in zip(some, _decode([parsed[i] for i in some]), strict=True):
-            out[i] = x
+    for some in _by_length([p[0] for p in parsed]):
+        some = [i for i in some if parsed[i][0]]
+        if some:
+            for i, x in zip(some, _decode([parsed[i] for i in some]), strict=True):
+                out[i] = x
     for x, p in zip(out, parsed, strict=True):
         if zlib.crc32(x.astype("<u4").tobytes()) != p[3]:
             raise BlockError("ids differ from their checksum")
@@ -235,30 +302,32 @@ def _parse(data: bytes) -> tuple[int, np.ndarray, np.ndarray, int]:
 
 def _decode(blocks: list[tuple[int, np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
     lengths = np.array([b[0] for b in blocks])
-    steps, live = int(lengths.max()), len(blocks)
-    m = _Model(np.array([len(b[1]) for b in blocks]))
+    steps, live = int(lengths[0]), len(blocks)
+    m = _Model(np.array([len(b[1]) for b in blocks]), True)
     words = np.zeros((live, max(len(b[2]) for b in blocks) + 4), np.uint32)
     for j, b in enumerate(blocks):
         words[j, : len(b[2])] = b[2]
-    low, rng, used = np.zeros(live, U64), np.full(live, 2**64 - 1, U64), np.full(live, 2)
-    code = (words[:, 0].astype(U64) << U64(32)) | words[:, 1].astype(U64)
-    ranks = np.zeros((steps, live), np.int64)
+    x, rng, used = words[:, 0].astype(U64) << WORD | words[:, 1], np.full(live, 2**64 - 1, U64), np.full(live, 2)
+    ranks = np.zeros((steps, live), np.int32)
     active = (lengths[None, :] > np.arange(steps)[:, None]).sum(axis=1)
-    for a, b in _schedule(steps):
+    for a, b, valid, n in _stretches(lengths):
+        said = np.zeros((b - a, n), np.uint16)
         for s in range(a, b):
             k = int(active[s])
             m.predict(k)
             unit = rng[:k] >> U64(TOTAL_BITS)
-            t = np.minimum((code[:k] - low[:k]) // unit, U64(TOTAL - 1)).astype(np.int64)
+            t = np.minimum(x[:k] // unit, U64(TOTAL - 1)).astype(np.int32)
             r = m.find(t, k)
             ranks[s, :k] = r
             start, width = m.interval(r, k)
-            low[:k] += unit * start.astype(U64)
-            rng[:k] = unit * width.astype(U64)
-            m.learn(r, k)
-            i = _narrow(low, rng, k)
-            low[i] <<= U64(32)
-            code[i] = (code[i] << U64(32)) | words[i, used[i]].astype(U64)
-            used[i] += 1
-        m.seen(ranks[a:b], np.arange(a, b)[:, None] < lengths[None, :])
+            x[:k] -= unit * start
+            np.multiply(unit, width, out=rng[:k])
+            said[s - a, :k] = m.learn(r, k)
+            i = (rng[:k] < TOP).nonzero()[0]
+            at = used[i]
+            x[i] = x[i] << WORD | words[i, at]
+            used[i] = at + 1
+            rng[i] <<= WORD
+        if b < steps:
+            m.seen(ranks[a:b, :n], said, valid)
     return [b[1][ranks[: b[0], j]] for j, b in enumerate(blocks)]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rangecoder import BLOCK_IDS, LANES, decode_blocks, encode_blocks
-from .tokens import END_ID, encoder, text_runs
+from .tokens import END_ID, binary_array, encoder
 
 BLOCKS = "part int, block int, n_ids long, more boolean, docs array<long>, counts array<long>, data binary"
 _ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("more", pa.bool_()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("data", pa.binary())])
@@ -34,41 +34,41 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     dealt = d.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, part = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         held, docs, counts, size, done, goes_on = [], [], [], 0, 0, False
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, docs, counts, size, done, goes_on
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held) if held else np.zeros(0, np.uint32)
+            key, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, counts))  # keys are objects: one may be null
             n = len(ids) if last else len(ids) // BLOCK_IDS * BLOCK_IDS
             cuts = list(range(0, n, BLOCK_IDS))
             data = encode_blocks([ids[a : min(a + BLOCK_IDS, n)] for a in cuts])
-            ends = np.cumsum(counts)
+            ends = np.cumsum(count)
             rows = []
             for k, (a, x) in enumerate(zip(cuts, data, strict=True)):
                 b = min(a + BLOCK_IDS, n)
                 i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b, "left"))
-                first = ends[i : j + 1]
-                inside = np.diff(np.minimum(first, b), prepend=a)
-                begun = goes_on if a == 0 else bool(i and ends[i - 1] < a or (not i and a > 0))
-                rows.append((part, done + k, b - a, begun, docs[i : j + 1], inside.tolist(), x))
+                inside = np.diff(np.minimum(ends[i : j + 1], b), prepend=a)
+                begun = goes_on if a == 0 else bool((ends[i - 1] if i else 0) < a)
+                rows.append((part, done + k, b - a, begun, key[i : j + 1].tolist(), inside.tolist(), x))
             done += len(cuts)
             if n:
                 i = int(np.searchsorted(ends, n, "right"))
-                goes_on = bool(i < len(ends) and n > (ends[i - 1] if i else 0)) or (i == 0 and goes_on and n < ends[0])
-                docs, counts = docs[i:], np.diff(np.concatenate(([n], ends[i:]))).tolist()
-            held, size = [ids[n:].tobytes()], len(ids) - n
+                begun = int(ends[i - 1]) if i else 0
+                goes_on = i < len(ends) and n > begun or i == 0 and goes_on
+                key, count = key[i:], np.diff(ends[i:], prepend=n)
+            held, docs, counts, size = [ids[n:]], [key], [count], len(ids) - n
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_runs(texts):
-                for key, x in zip(keys[a:b], enc.encode(texts[a:b]), strict=True):
-                    held.append(x + end)
-                    docs.append(key)
-                    counts.append(len(x) // 4 + 1)
-                    size += counts[-1]
+            keys = np.array(batch.column(0).to_pylist(), object)
+            for a, b, ids, at in enc.encode_ended(batch.column(1), end_id):
+                held.append(ids)
+                docs.append(keys[a:b])
+                counts.append(np.diff(at))
+                size += len(ids)
                 if size >= LANES * BLOCK_IDS:
                     yield from flush(False)
         yield from flush(True)

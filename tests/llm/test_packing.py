@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quillmark.llm import packing, queries
+from quillmark.llm.tokens import CachedEncoder
 
 from .helpers import SF, documents
 
@@ -14,7 +15,6 @@ def reference_ids(texts, name="byte_bpe_50k.json"):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
 
 
@@ -32,6 +32,22 @@ def check_packed(rows, capacity):
     return len(bins)
 
 
+ODD = ["", None, " ", "  ", "a ", "\n\n", "a\nb", "a\n b", "a \nb", "x   y", "x \t y", "a\xa0b", "a\u2003b", "é\nb", "à\u3000b", "can't stop", "'s.", "'sx.y", "a1b2", "foo.bar,baz", "...a", "$$$ %% a$$$", "hello <|endoftext|> world", "<|startoftext|>x", "<|STARTOFTEXT|> a", "a\x00b c", "\x1c a", "İstanbul STRASSE", "ΑΣ ΟΔΟΣ.", "é á.", "a \u0301b", "日本語 テスト\nです", "😀 x", "a" * 300, "x\u0338 y", "don'T WE'LL", "a\r\nb", "a\x85b", "A.B.C", "ǅ ﬁ", "Grüße, ÉTÉ été."]
+SOME = [*"abA'. ,\n\té1$", "'s", "\u0301", "\xa0", "<|endoftext|>", "word", " "]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_librarys(name):
+    g = random.Random(5)
+    texts = ODD + [a + s + b for a in ("x", "é", "'", "1", ".") for b in ("y", "é", "'s", "9") for s in (" ", "\n", "  ", "\n\n", " \n", "\n ", " \t", "'", "\u3000 ")]
+    texts += ["".join(g.choice(SOME) for _ in range(g.randint(1, 30))) for _ in range(2000)]
+    small = CachedEncoder(queries.tokenizer_path(name), most=1)
+    small.table.most = 100  # starts anew again and again
+    for part in (texts, texts[::-1]):
+        got = small.encode(part)
+        assert [np.frombuffer(x, "<u4").tolist() + [2] for x in got] == reference_ids(part, name)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_best_fit_equals_a_plain_search(seed):
     g, fit, free = random.Random(seed), packing.BestFit(100, 10**9), []

@@ -16,7 +16,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
 
 
