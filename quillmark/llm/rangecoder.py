@@ -101,19 +101,23 @@ class _Model:
         start[i], width[i] = 0, np.where(ok1[i], named[i], w2[i]) << SHARE_BITS
         return start.astype(U64), width.astype(U64)
 
-    def interval(self, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For rank r in each of the first k lanes, after ``predict``; sets which orders named it."""
+    def find(self, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rank in whose interval t lies, and the interval's start and width; sets which orders named the rank."""
+        top, w0 = self.named << SHARE_BITS, WEIGHTS - self.named
+        rest = t - top
+        i = (rest < 0).nonzero()[0]
+        rest[i] = 0
+        r = self.rank_at.take(self.by_share[:k] + np.minimum(rest // w0, SHARES - 1))
+        share = self.share.take(self.by_width[:k] + r)
+        start, width = top + w0 * (share >> 16).view(np.int32), w0 * (share & 0xFFFF).view(np.int32)
+        if len(i):
+            c1, c2, w2 = self.c1[i], self.c2[i], self.w2[i]
+            both = c1 == c2
+            two = (t[i] < w2 << SHARE_BITS) | both
+            r[i] = np.where(two, c2, c1)
+            start[i], width[i] = np.where(two, 0, w2) << SHARE_BITS, np.where(both, self.named[i], np.where(two, w2, self.w1[i])) << SHARE_BITS
         self.ok1, self.ok2 = self.c1 == r, self.c2 == r
-        return self._interval(self.share.take(self.by_width[:k] + r), self.w1, self.w2, self.named, self.ok1, self.ok2)
-
-    def find(self, t: np.ndarray, k: int) -> np.ndarray:
-        """The rank in whose interval t lies."""
-        rest = t - (self.named << SHARE_BITS)
-        named = (rest < 0).nonzero()[0]
-        rest[named] = 0
-        r = self.rank_at.take(self.by_share[:k] + np.minimum(rest // (WEIGHTS - self.named), SHARES - 1))
-        r[named] = np.where(t[named] < self.w2[named] << SHARE_BITS, self.c2[named], self.c1[named])
-        return r
+        return r, start.astype(U64), width.astype(U64)
 
     def learn(self, r: np.ndarray, k: int) -> np.ndarray:
         """Returns confidences and hits as one number a lane: 4 bits for each order's confidence, a bit for each order's hit."""
@@ -129,16 +133,10 @@ class _Model:
 def _varints(x: np.ndarray) -> bytes:
     """Seven bits a byte, the lowest first; all but a number's last byte have the top bit set."""
     x = x.astype(np.int64)
-    top = max(1, -(-int(x.max(initial=0)).bit_length() // 7))
-    sizes = np.ones(len(x), np.int64)
-    for k in range(1, top):
-        sizes += x >= 1 << 7 * k
-    ends = np.cumsum(sizes)
-    out = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8)
-    for k in range(top):
-        some = np.flatnonzero(sizes > k)
-        out[ends[some] - sizes[some] + k] = x[some] >> 7 * k & 127 | (sizes[some] > k + 1) * 128
-    return out.tobytes()
+    places = np.arange(max(1, -(-int(x.max(initial=0)).bit_length() // 7)))
+    rest = x[:, None] >> 7 * places
+    more = rest >= 128
+    return (rest & 127 | more << 7).astype(np.uint8)[(rest > 0) | (places == 0)].tobytes()
 
 
 def _read_varints(data: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
@@ -157,31 +155,30 @@ def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct ids, and the rank of each id among them."""
     if not len(ids) or int(ids.max()) >= 1 << 16:
         return np.unique(ids, return_inverse=True)
-    there = np.zeros(1 << 16, bool)
-    there[ids] = True
-    kinds = np.flatnonzero(there)
-    rank = np.empty(1 << 16, np.uint16)
-    rank[kinds] = np.arange(len(kinds))
-    return kinds.astype(np.uint32), rank[ids]
-
-
-def _said(context: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(confidence, hit) at each place of a block for one order, as the decoder will have them: the name in a context is the rank that came last in it."""
-    order = np.argsort(context, kind="stable")
-    c, x, at = context[order], r[order], np.arange(len(r))
-    first = np.ones(len(r), bool)
-    first[1:] = c[1:] != c[:-1]
-    hit = np.zeros(len(r), bool)
-    hit[1:] = x[1:] == x[:-1]
-    hit[first] = x[first] == 0  # a new cell names rank 0
-    run = np.where(hit & ~first, 0, at)
-    after = np.minimum(1 + at - np.maximum.accumulate(run), CONFIDENCES - 1)
-    confidence = np.zeros(len(r), np.uint16)
-    confidence[1:] = after[:-1]
-    confidence[first] = 0
-    out, ok = np.empty(len(r), np.uint16), np.empty(len(r), np.uint16)
-    out[order], ok[order] = confidence, hit
-    return out, ok
+    at, there, rank = ids.astype(np.int64), np.zeros(1 << 16, bool), np.empty(1 << 16, np.uint16)
+    there[at] = True
+    kinds = there.nonzero()[0]
+    rank[kinds] = np.arange(len(kinds), dtype=np.uint16)
+    return kinds.astype(np.uint32), rank.take(at)
+
+
+def _said(context: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Confidence, and 256 for a hit, at each place of a block for one order, as the decoder will have them: the name in a context is the rank that came last in it."""
+    order, n = np.argsort(context, kind="stable"), len(r)
+    c, x, at = context.take(order), r.take(order), np.arange(n, dtype=np.int32)
+    new, on = np.ones(n, bool), np.zeros(n, bool)
+    np.not_equal(c[1:], c[:-1], out=new[1:])
+    np.equal(x[1:], x[:-1], out=on[1:])
+    old = ~new
+    on &= old
+    run = at + 1 - np.maximum.accumulate(at * ~on)
+    said = np.zeros(n, np.uint16)
+    np.minimum(run[:-1], CONFIDENCES - 1, out=said[1:], casting="unsafe")
+    said *= old
+    said |= (on | (new & (x == 0))).astype(np.uint16) << 8  # a new cell names rank 0
+    out = np.empty(n, np.uint16)
+    out[order] = said
+    return out
 
 
 def _contexts(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +225,8 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         for j, b in enumerate(blocks[:live]):
             kinds[j], r = _distinct(b)
             ranks[j, : len(b)] = r = r.astype(np.uint16)
-            (k1, ok1), (k2, ok2) = (_said(c, r) for c in _contexts(r))
-            told[j, : len(b)] = k1 | k2 << 4 | ok1 << 8 | ok2 << 9
+            one, two = (_said(c, r) for c in _contexts(r))
+            told[j, : len(b)] = one | (two & 15) << 4 | (two & 256) << 1
         ranks, told = np.ascontiguousarray(ranks.T).astype(np.int64), np.ascontiguousarray(told.T)
         m = _Model(np.array([len(u) for u in kinds[:live]]), False)
         low, rng = np.zeros(live, U64), np.full(live, 2**64 - 1, U64)
@@ -317,9 +314,8 @@ def _decode(blocks: list[tuple[int, np.ndarray, np.ndarray, int]]) -> list[np.nd
             m.predict(k)
             unit = rng[:k] >> U64(TOTAL_BITS)
             t = np.minimum(x[:k] // unit, U64(TOTAL - 1)).astype(np.int32)
-            r = m.find(t, k)
+            r, start, width = m.find(t, k)
             ranks[s, :k] = r
-            start, width = m.interval(r, k)
             x[:k] -= unit * start
             np.multiply(unit, width, out=rng[:k])
             said[s - a, :k] = m.learn(r, k)
