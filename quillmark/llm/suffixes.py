@@ -1,13 +1,15 @@
-"""Exact removal of long byte strings that an earlier document has: sorted window hashes in a logarithmic index family.
+"""Exact removal of long byte strings that an earlier document has: suffix arrays in a logarithmic index family.
 
 A window is a string of LENGTH bytes. Its anchor is the smallest hash among its GRAM-byte substrings (the leftmost of equal ones), so
 equal windows have equal anchors, wherever they stand. Four steps, of which each moves only what the one before let through:
 
 1. Each run of documents gives the distinct anchors, dealt to buckets by hash; a bucket tells which ones several documents have.
-2. Documents with such anchors give the bytes of the windows around them (consecutive windows of one anchor share their bytes).
-3. A bucket sorts its windows in batches of ascending documents. Each batch becomes a list sorted by the windows' 64-bit hashes (no
-   suffix array) that is looked up in the levels of the index and then joins it; levels of about equal size merge, so sizes are geometric
-   and each window is merged a logarithmic number of times. Hits are verified byte by byte.
+2. Documents with such anchors give stretches: the bytes of the windows around an anchor (consecutive windows of one anchor share bytes).
+3. In a bucket equal stretches become one, of the smallest document: the others are covered whole. Of anchors that have different
+   stretches, batches of ascending documents get suffix arrays (of the suffixes that have LENGTH bytes in their stretch, in the order
+   of these bytes, by doubling of ranks). A batch is merge-scanned against each level of the index: the place of each of its suffixes
+   in the level is found, and whether they agree in LENGTH bytes. Then it becomes a level; levels of about equal size merge, so sizes are
+   geometric and each suffix is merged a logarithmic number of times. All comparisons are of bytes, none of hashes.
 4. Covered bytes of a document are removed.
 
 Buckets are as many as the input asks for. An anchor that very many runs have is dealt by window, so no bucket depends on it. Its own
@@ -27,43 +29,109 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .bytetools import U64, byte_values, mix, prefix_hash, runs, span_hash
+from .common import fresh
 
 LENGTH, GRAM = 50, 18
 RUN, CHUNK = 1 << 20, 1 << 20
 BUCKET_BYTES = 8 << 20
 #: An anchor that more runs than this have is dealt by window.
 HOT_RUNS = 20_000
-BATCH = 1 << 18
+#: Windows of a batch, and of what one index holds at most (but for a single anchor with more).
+BATCH, PART = 1 << 16, 1 << 21
 _PLACE, _TOP = U64((1 << 24) - 1), 48
 _PAIR = np.dtype([("doc", "<i8"), ("key", "<i8")])
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """At each byte the number that the eight bytes from there make, so that numbers compare as bytes do; zeros follow the end."""
+    padded = np.zeros(len(data) + LENGTH + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + LENGTH, ">u8", padded, strides=(1,)).astype(U64)
+
+
+def _dense(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    k = keys[order]
+    rank = np.empty(len(keys), U64)
+    rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1]))).astype(U64)
+    return rank
+
+
+def suffix_array(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that start at ``at``, by their first LENGTH bytes, and where in it another string than before begins.
+
+    words: of the whole text. Ranks by 8 bytes are doubled to 16 and 32; two of these, which overlap, make LENGTH bytes.
+    """
+    a, b = int(at.min()), int(at.max()) + LENGTH
+    rank = _dense(words[a:b])
+    for h in (8, 16):
+        rank = _dense(rank << U64(32) | np.concatenate((rank[h:], np.zeros(h, U64))))
+    key = rank[at - a] << U64(32) | rank[at - a + LENGTH - 32]
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.concatenate(([True], key[1:] != key[:-1]))
+
+
 class LogIndex:
-    """Levels of sorted (hash, document, reference); each level has at least twice the windows of the next."""
+    """Levels of (start, document, first word), in the order of the strings of LENGTH bytes that start there, each string once.
+
+    Each level has at least twice the strings of the next. All are of one text, given by its ``_words``.
+    """
+
+    #: Where the words of a string begin; the last two overlap.
+    PLACES = (8, 16, 24, 32, 40, LENGTH - 8)
 
-    def __init__(self):
+    def __init__(self, words: np.ndarray):
+        self.words, self.depth = words, 0
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def scan(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """For sorted keys: the reference of a window of the same key in a smaller document, or -1."""
-        out = np.full(len(keys), -1, np.int64)
-        for k, d, r in self.levels:
-            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-            hit = (out < 0) & (k[at] == keys) & (d[at] < docs)
-            out[hit] = r[at[hit]]
+    def _places(self, level: tuple[np.ndarray, np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each string of ``new``: how many of the level are smaller, and whether the level has it."""
+        lo, hi = np.searchsorted(level[2], new[2], "left"), np.searchsorted(level[2], new[2], "right")
+        equal = np.zeros(len(lo), bool)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            mine, theirs = new[0][open_], level[0][mid]
+            side = np.zeros(len(open_), np.int8)
+            tied = np.arange(len(open_))
+            for k in self.PLACES:
+                x, y = self.words[mine[tied] + k], self.words[theirs[tied] + k]
+                side[tied] = (x > y).astype(np.int8) - (x < y)
+                tied = tied[x == y]
+                if not len(tied):
+                    break
+            up = side >= 0
+            lo[open_[up]] = mid[up] + (side[up] > 0)
+            hi[open_[~up]] = mid[~up]
+            equal[open_[side == 0]] = True
+            open_ = open_[(side != 0) & (lo[open_] < hi[open_])]
+        return lo, equal
+
+    def scan(self, new: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The smallest document of the levels that has each string of a batch, or a number above all."""
+        out = np.full(len(new[0]), np.iinfo(np.int64).max)
+        for level in self.levels:
+            place, equal = self._places(level, new)
+            out[equal] = np.minimum(out[equal], level[1][place[equal]])
         return out
 
-    def add(self, keys: np.ndarray, docs: np.ndarray, refs: np.ndarray) -> None:
-        """One entry per key, of its smallest document."""
-        new = (keys, docs, refs)
+    def add(self, new: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Documents of ``new`` are not smaller than those of the index."""
         while self.levels and len(self.levels[-1][0]) < 2 * len(new[0]):
             old = self.levels.pop()
-            k, d, r = (np.concatenate((x, y)) for x, y in zip(old, new, strict=True))
-            order = np.argsort(k, kind="stable")  # older entries, of smaller documents, first: a merge of two sorted runs
-            k, d, r = k[order], d[order], r[order]
-            first = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
-            new = k[first], d[first], r[first]
+            place, equal = self._places(old, new)
+            place = place[~equal] + np.arange(len(place) - int(equal.sum()))
+            own = np.ones(len(old[0]) + len(place), bool)
+            own[place] = False
+            both = []
+            for x, y in zip(old, new, strict=True):
+                z = np.empty(len(own), x.dtype)
+                z[own], z[place] = x, y[~equal]
+                both.append(z)
+            new = tuple(both)
         self.levels.append(new)
+        self.depth = max(self.depth, len(self.levels))
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,6 +176,13 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U64(16)) * U64(buckets) >> U64(_TOP - 16)).astype(np.int64)
 
 
+def _by_bucket(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of sorted hashes, of the buckets that occur."""
+    b = _bucket(h, buckets)
+    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))[: len(b)]
+    return list(zip(b[first].tolist(), first.tolist(), np.append(first[1:], len(b)).tolist(), strict=True))
+
+
 def _planes(h: np.ndarray) -> bytes:
     """Sorted 48-bit numbers byte by byte, so that the leading bytes compress."""
     return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
@@ -159,8 +234,7 @@ def _tell_anchors(buckets: int):
                 first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
                 lead = np.flatnonzero(first)
                 several = np.diff(np.append(lead, len(h))) > 1
-                cut = np.searchsorted(_bucket(h[lead], buckets), np.arange(buckets + 1))
-                out = [_packed(k, 0, ids, row[lead[i:j]], _planes(h[lead[i:j]]), several[i:j].tobytes(), b"") for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
+                out = [_packed(k, 0, ids, row[lead[i:j]], _planes(h[lead[i:j]]), several[i:j].tobytes(), b"") for k, i, j in _by_bucket(h[lead], buckets)]
                 if not first.all():  # in several documents of this run: known already
                     turn += 1
                     out.append(_packed(int(mix(np.array([ids["key"][0] + turn]).astype(np.int64).view(U64))[0] % U64(buckets)), 1, ids, row[~first], _planes(h[~first]), b"", b""))
@@ -288,21 +362,14 @@ def _window_messages(data: np.ndarray, at: np.ndarray, ids: np.ndarray, row: np.
     first = np.concatenate(([True], (f[1:] != f[:-1]) | (h[1:] != h[:-1])))
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     later = np.flatnonzero((doc > doc[lead]) & (size == size[lead]))
-    same = np.zeros(len(later), bool)
-    for i in range(0, len(later), 20_000):  # the same bytes, not just the same hash
-        x = later[i : i + 20_000]
-        c = np.arange(int(size[x].max()))
-        inside = c < size[x][:, None]
-        same[i : i + 20_000] = ((data[np.minimum(lo[x][:, None] + c, len(data) - 1)] == data[np.minimum(lo[lead[x]][:, None] + c, len(data) - 1)]) | ~inside).all(axis=1)
+    same = _same_bytes(data, lo[later], lo[lead[later]], size[later])  # the same bytes, not just the same hash
     known = np.zeros(len(row), bool)
     known[later[same]] = True
     start = lo - at[row]
     out = []
     keep = np.flatnonzero(~known)
-    b = _bucket(h[keep], buckets)
-    cut = np.searchsorted(b, np.arange(buckets + 1))
-    for k in np.unique(b):
-        x = keep[cut[k] : cut[k + 1]]
+    for k, i, j in _by_bucket(h[keep], buckets):
+        x = keep[i:j]
         n = size[x]
         cells = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - lo[x], n)
         out.append(_packed(int(k), 0, ids, row[x], start[x].astype("<i8").tobytes(), n.astype(np.uint8).tobytes(), data[cells].tobytes()))
@@ -350,69 +417,103 @@ def _union(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, byt
     return d[first], pairs.tobytes()
 
 
-def _repeats(d: np.ndarray, s: np.ndarray, z: np.ndarray, data: np.ndarray, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) of covered stretches. Windows are worked on in parts by hash, so that an index stays small however many there are."""
+def _repeats(d: np.ndarray, s: np.ndarray, z: np.ndarray, data: np.ndarray, batch: int = BATCH, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of covered parts of a bucket's stretches, each of the windows of one anchor.
+
+    Equal stretches are found first. What is left goes by anchor, in parts of about ``part`` windows, so an index stays small however
+    many there are.
+    """
     begin = np.cumsum(z) - z
+    whole, anchor = _stretch_hashes(data, begin, z)
+    order = np.lexsort((d["doc"], z, whole))
+    first = np.ones(len(order), bool)
+    first[1:] = (whole[order][1:] != whole[order][:-1]) | (z[order][1:] != z[order][:-1])
+    lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    later = np.flatnonzero(d["doc"][order] > d["doc"][lead])
+    gone = later[_same_bytes(data, begin[order[later]], begin[lead[later]], z[order[later]])]
+    keep = np.ones(len(order), bool)
+    keep[gone] = False
+    done, left = order[gone], order[keep]
+    out = [(d[done], s[done], s[done] + z[done])]
+    left = left[np.argsort(anchor[left], kind="stable")]
+    if len(left):
+        a, doc = anchor[left], d["doc"][left]
+        group = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        several = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
+        left = left[np.repeat(several, np.diff(np.append(group, len(left))))]
+    if len(left):
+        a, cell = anchor[left], np.cumsum(z[left] - LENGTH + 1) // part
+        group = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        for x in np.split(left, group[1:][cell[group[1:]] != cell[group[:-1]]]):
+            out.append(indexed_repeats(d[x], s[x], z[x], begin[x], data, batch)[:3])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def indexed_repeats(d: np.ndarray, s: np.ndarray, z: np.ndarray, begin: np.ndarray, data: np.ndarray, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(document, start, end) of parts of stretches that consist of windows which a smaller document has, by the index; and its depth."""
     order = np.argsort(d["doc"], kind="stable")
     d, s, z, begin = d[order], s[order], z[order], begin[order]
+    cells = np.arange(int(z.sum())) - np.repeat(np.cumsum(z) - z - begin, z)
+    begin = np.cumsum(z) - z
+    words = _words(data[cells])
     count = z - LENGTH + 1
     first_window = np.cumsum(count) - count
-    keys = _window_hashes(data, begin, z)
-    hit = np.zeros(len(keys), bool)
-    parts = max(1, -(-len(keys) // (2 * batch)))
-    part_of = (keys >> U64(40)) % U64(parts) if parts > 1 else None
-    for part in range(parts):
-        mine = np.arange(len(keys)) if part_of is None else np.flatnonzero(part_of == U64(part))
-        index = LogIndex()
-        for i in range(0, len(mine), batch):
-            w = mine[i : i + batch]
-            entry = np.searchsorted(first_window, w, "right") - 1
-            doc, ref, key = d["doc"][entry], begin[entry] + w - first_window[entry], keys[w]
-            order = np.argsort(key, kind="stable")  # windows ascend by document
-            key, doc, ref, w = key[order], doc[order], ref[order], w[order]
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-            earlier = index.scan(key, doc)
-            earlier = np.where((earlier < 0) & (doc[lead] < doc), ref[lead], earlier)
-            found = np.flatnonzero(earlier >= 0)
-            _verify(data, ref[found], earlier[found])
-            hit[w[found]] = True
-            index.add(key[first], doc[first], ref[first])
+    starts = np.arange(int(count.sum())) - np.repeat(first_window - begin, count)
+    doc = np.repeat(d["doc"], count)
+    hit = np.zeros(len(starts), bool)
+    index = LogIndex(words)
+    for i in range(0, len(starts), batch):
+        at, own = starts[i : i + batch], doc[i : i + batch]
+        order, new = suffix_array(words, at)
+        at, own, first = at[order], own[order], np.flatnonzero(new)
+        least = np.minimum.reduceat(own, first)
+        entry = at[first], least, words[at[first]]
+        earlier = np.minimum(index.scan(entry), least)
+        hit[i + order] = earlier[np.cumsum(new) - 1] < own
+        index.add(entry)
     if not hit.any():
-        return d[:0], s[:0], s[:0]
-    own = np.zeros(len(keys) + 1, bool)
+        return d[:0], s[:0], s[:0], index.depth
+    own = np.zeros(len(hit) + 1, bool)
     own[first_window] = True
-    starts = np.flatnonzero(hit & (np.concatenate(([True], ~hit[:-1])) | own[:-1]))
-    ends = np.flatnonzero(hit & (np.concatenate((~hit[1:], [True])) | own[1:]))
-    entry = np.searchsorted(first_window, starts, "right") - 1
-    a = s[entry] + starts - first_window[entry]
-    return d[entry], a, a + (ends - starts) + LENGTH
-
-
-def _verify(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Windows of equal hash must have equal bytes."""
-    c = np.arange(LENGTH)
-    for i in range(0, len(a), 20_000):
-        if not (data[a[i : i + 20_000, None] + c] == data[b[i : i + 20_000, None] + c]).all():
-            raise ArithmeticError("two different windows have the same 64-bit hash; choose other values in bytetools")
+    a = np.flatnonzero(hit & (np.concatenate(([True], ~hit[:-1])) | own[:-1]))
+    b = np.flatnonzero(hit & (np.concatenate((~hit[1:], [True])) | own[1:]))
+    entry = np.searchsorted(first_window, a, "right") - 1
+    start = s[entry] + a - first_window[entry]
+    return d[entry], start, start + (b - a) + LENGTH, index.depth
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 20_000) -> np.ndarray:
+    """Whether data[a : a + size] equals data[b : b + size], for arrays of places."""
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(a), most):
+        x = slice(i, i + most)
+        c = np.arange(int(size[x].max()))
+        outside = c >= size[x][:, None]
+        end = len(data) - 1
+        out[x] = ((data[np.minimum(a[x][:, None] + c, end)] == data[np.minimum(b[x][:, None] + c, end)]) | outside).all(axis=1)
+    return out
 
 
-def _window_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
-    """Of all windows of the given stretches, in order."""
-    out = []
-    ends = np.cumsum(size)
-    at = 0
-    while at < len(size):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        z = size[at:to]
-        first = np.cumsum(z) - z
-        cells = np.arange(int(z.sum())) - np.repeat(first - begin[at:to], z)
-        sums = prefix_hash(byte_values(data[cells]))
-        n = z - LENGTH + 1
-        a = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first, n)
-        out.append(span_hash(sums, a, a + LENGTH))
-        at = to
-    return np.concatenate(out)
+def _stretch_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Of each stretch: its hash, and its anchor. The anchor is in all windows, so among the substrings from the last window's start to the first one's end."""
+    whole, anchor = [np.zeros(0, U64)], [np.zeros(0, U64)]
+    ends, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        at = begin[i:j] - begin[i]
+        z = size[i:j]
+        sums = prefix_hash(byte_values(data[begin[i] : begin[i] + int(z.sum())]))
+        whole.append(span_hash(sums, at, at + z))
+        last = z - LENGTH
+        n = LENGTH - GRAM + 1 - last
+        first = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) - np.repeat(first, n)
+        p = np.repeat(at + last, n) + k
+        g = span_hash(sums, p, p + GRAM)
+        m = np.minimum.reduceat((g & ~_PLACE) | k.astype(U64), first)
+        anchor.append(g[first + (m & _PLACE).astype(np.int64)])
+        i = j
+    return np.concatenate(whole), np.concatenate(anchor)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, hot: int = HOT_RUNS) -> DataFrame:
@@ -453,9 +554,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with shortened texts; bytes of a character that was cut through go too. Rows and other columns stay as they are."""
-    r = repeats(docs, id_col, text_col).select(F.col("doc_id").alias("_q_id"), F.col("text_key").alias("_q_key"), F.col("kept").alias("_q_kept"))
-    j = docs.join(r, (F.col(id_col) == F.col("_q_id")) & (F.xxhash64(F.col(text_col)) == F.col("_q_key")), "left")
-    whole = F.regexp_replace(F.make_valid_utf8(F.col("_q_kept").cast("string")), "�", "")
-    text = F.when(F.col("_q_id").isNull(), F.col(text_col)).otherwise(whole)
+    own, key, kept = (fresh(docs, x) for x in ("_q_id", "_q_key", "_q_kept"))
+    r = repeats(docs, id_col, text_col).select(F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("kept").alias(kept))
+    j = docs.join(r, (F.col(id_col) == F.col(own)) & (F.xxhash64(F.col(text_col)) == F.col(key)), "left")
+    whole = F.regexp_replace(F.make_valid_utf8(F.col(kept).cast("string")), "�", "")
+    text = F.when(F.col(own).isNull(), F.col(text_col)).otherwise(whole)
     return j.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 

@@ -75,18 +75,38 @@ def test_a_threshold_in_between_does_not_change_the_result(spark, hot):
         spark.conf.set(name, before)
 
 
+def test_a_suffix_array_is_in_order():
+    g = random.Random(3)
+    x = bytes(g.choice(b"ab\x00\xff") for _ in range(300)) + b"ab" * 200
+    at = np.array(sorted(g.sample(range(len(x) - 49), 400)))
+    order, new = suffixes.suffix_array(suffixes._words(np.frombuffer(x, np.uint8)), at)
+    strings = [x[i : i + 50] for i in at[order].tolist()]
+    assert strings == sorted(strings) and sorted(order.tolist()) == list(range(400))
+    assert new.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(400)]
+
+
 def test_levels_of_the_index_stay_geometric():
-    index, seen, g = suffixes.LogIndex(), {}, np.random.default_rng(2)
-    for doc in range(40):
-        keys = np.unique(g.integers(0, 3000, 200).astype(np.uint64))
-        got = index.scan(keys, np.full(len(keys), doc))
-        assert [x >= 0 for x in got.tolist()] == [k in seen for k in keys.tolist()]
-        assert all(seen[k] == r for k, r in zip(keys.tolist(), got.tolist(), strict=True) if r >= 0)
-        for k in keys.tolist():
-            seen.setdefault(k, doc * 10_000 + k)
-        index.add(keys, np.full(len(keys), doc), doc * 10_000 + keys.astype(np.int64))
-        sizes = [len(x[0]) for x in index.levels]
-        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    g = random.Random(2)
+    x = b"".join(bytes(g.choice(b"abc") for _ in range(8)) * g.randint(1, 12) + b"." for _ in range(400))
+    words, n, seen = suffixes._words(np.frombuffer(x, np.uint8)), len(x) - 49, {}
+    index = suffixes.LogIndex(words)
+    for doc, a in enumerate(range(0, n, 200)):
+        at = np.arange(a, min(a + 200, n))
+        order, new = suffixes.suffix_array(words, at)
+        at = at[order][new]
+        batch = at, np.full(len(at), doc), words[at]
+        strings = [x[i : i + 50] for i in at.tolist()]
+        assert [None if k > doc else k for k in index.scan(batch).tolist()] == [seen.get(k) for k in strings]
+        for k in strings:
+            seen.setdefault(k, doc)
+        index.add(batch)
+        sizes = [len(level[0]) for level in index.levels]
+        assert all(p >= 2 * q for p, q in zip(sizes, sizes[1:], strict=False))
+        for at, docs, head in index.levels:
+            strings = [x[i : i + 50] for i in at.tolist()]
+            assert strings == sorted(set(strings)) and all(seen[k] <= d for k, d in zip(strings, docs.tolist(), strict=True))  # a larger level may have it as well
+            assert (head == words[at]).all()
+    assert index.depth > 3
 
 
 def test_batches_and_parts_do_not_change_the_result():
@@ -96,12 +116,42 @@ def test_batches_and_parts_do_not_change_the_result():
     size = np.array([len(t) for _, t in docs])
     data = np.frombuffer(b"".join(t for _, t in docs), np.uint8)
     results = []
-    for batch in (100, 1 << 18):
-        d, a, b = suffixes._repeats(ids, np.zeros(len(docs), np.int64), np.minimum(size, 1 << 40), data, batch)
+    for batch in (100, 1 << 22):
+        d, a, b, depth = suffixes.indexed_repeats(ids, np.zeros(len(docs), np.int64), size, np.cumsum(size) - size, data, batch)
         results.append(sorted(zip(d["doc"].tolist(), a.tolist(), b.tolist(), strict=True)))
+        assert depth == 1 or batch == 100
     assert results[0] == results[1] and results[0]
 
 
+@pytest.mark.parametrize("batch, part", [(50, 1 << 21), (50, 400), (1 << 16, 1)])
+def test_a_bucket_is_indexed_in_levels(monkeypatch, batch, part):
+    """What the query does in a bucket, with small batches: the index has several levels, and the result is that of all strings."""
+    docs = sorted((d, t) for d, t in fixture(9) if t)
+    docs = [(d, t) for d, t in docs if len(t.encode()) >= 50]
+    ids = np.zeros(len(docs), suffixes._PAIR)
+    ids["doc"] = [d for d, _ in docs]
+    raw = [t.encode() for _, t in docs]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    row, lo, hi, _ = suffixes.anchors(data, at)
+    z = hi - lo + 50
+    cells = np.arange(int(z.sum())) - np.repeat(np.cumsum(z) - z - lo, z)
+    depths, plain = [], suffixes.indexed_repeats
+
+    def watched(*args):
+        out = plain(*args)
+        depths.append(out[3])
+        return out
+
+    monkeypatch.setattr(suffixes, "indexed_repeats", watched)
+    d, a, b = suffixes._repeats(ids[row], lo - at[row], z, data[cells], batch, part)
+    got = {}
+    for doc, x, y in zip(d["doc"].tolist(), a.tolist(), b.tolist(), strict=True):
+        got.setdefault(doc, set()).update(range(x, y))
+    assert {k: len(v) for k, v in got.items()} == {k: v[1] for k, v in brute(docs).items() if v[1]}
+    assert max(depths) > 2 if part > 1 and batch == 50 else depths
+    assert part > 400 or len(depths) > 1
+
+
 def test_repeated_rows_null_ids_and_an_empty_table(spark):
     t = "one sentence of quite some length that is there again and again"
     assert found(spark, [(1, t), (1, t), (None, t)]) == {}
@@ -118,6 +168,13 @@ def test_texts_stay_valid(spark):
     assert out[2]["text"] == "xxx" and out[2]["X"] == "x"
 
 
+def test_columns_named_as_those_inside(spark):
+    a = "one sentence of quite some length that is there again and again"
+    docs = spark.createDataFrame([(1, a, 5, 6, 7), (2, a, 5, 6, 8)], "doc_id long, text string, _q_id long, _q_key long, _Q_KEPT long")
+    out = sorted(suffixes.remove_repeats(docs).collect())
+    assert out == [(1, a, 5, 6, 7), (2, "", 5, 6, 8)]
+
+
 def test_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = {(d, n, gone, k, hashlib.sha256(left).hexdigest()) for d, (n, gone, k, left) in brute(docs).items()}
