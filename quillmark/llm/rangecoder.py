@@ -28,6 +28,9 @@ PAIR = 1031
 #: Steps after which shares and weights are renewed.
 STRETCHES = (0, 128, 384, 896, 1920, BLOCK_IDS)
 _PRIOR = np.array([0.02, *(k / (k + 1.5) for k in range(1, CONFIDENCES))])
+#: What ``said`` (see ``_Model.learn``) makes of the confidences of orders 1 and 2.
+_SAID = np.arange(1024)
+NEXT1, NEXT2 = (np.minimum((_SAID >> a & 15) * (_SAID >> b & 1) + 1, CONFIDENCES - 1).astype(np.uint16) for a, b in ((0, 8), (4, 9)))
 U64 = np.uint64
 TOP, WORD = U64(1 << 32), U64(32)
 
@@ -42,7 +45,7 @@ class _Model:
     def __init__(self, sizes: np.ndarray, slots: bool):
         n, self.width, self.sizes, self.slots = len(sizes), int(sizes.max()), sizes.astype(np.int64), slots
         rows = np.arange(n)
-        self.by_width, self.by_context, self.by_confidence, self.by_share = rows * self.width, rows * CONTEXTS, rows * CONFIDENCES, rows * SHARES
+        self.by_width, self.by_context, self.by_pair, self.by_share = rows * self.width, rows * CONTEXTS, rows * CONFIDENCES**2, rows * SHARES
         self.counts = (np.arange(self.width)[None, :] < self.sizes[:, None]).astype(np.int32)
         self.guess1, self.guess2 = np.zeros(n * self.width, np.uint16), np.zeros(n * CONTEXTS, np.uint16)
         self.hits = [np.repeat((4 * np.stack((1 - _PRIOR, _PRIOR), axis=1))[None], n, axis=0) for _ in (1, 2)]  # lane, confidence, missed or hit
@@ -61,8 +64,9 @@ class _Model:
         if self.slots:
             self.rank_at = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), len(f)), f.reshape(-1))
         p1, p2 = (h[:, :, 1] / h.sum(axis=2) for h in self.hits)
-        self.weight2 = np.clip((p2 * 250).astype(np.int32), 1, 240).reshape(-1)
-        self.weight1 = (p1 * 250).astype(np.int32).reshape(-1)
+        w2 = np.clip((p2 * 250).astype(np.int32), 1, 240)[:, :, None]
+        w1 = np.maximum(((p1 * 250).astype(np.int32)[:, None, :] * (248 - w2)) >> WEIGHT_BITS, 1)
+        self.weights = ((w1 + w2) << 8 | w2).reshape(-1)  # by the confidences of order 2 and 1: both weights, and that of order 2
 
     def seen(self, ranks: np.ndarray, said: np.ndarray, valid: np.ndarray | None) -> None:
         """Counts a stretch (steps x lanes); said: see ``learn``. valid: None if all are."""
@@ -79,26 +83,22 @@ class _Model:
         self.at1 = self.by_width[:k] + self.last[:k]
         self.at2 = self.by_context[:k] + ((self.last[:k] * PAIR + self.before[:k]) & (CONTEXTS - 1))
         g1, g2 = self.guess1.take(self.at1), self.guess2.take(self.at2)
-        self.k1, self.k2, self.c1, self.c2 = g1 & 15, g2 & 15, g1 >> 4, g2 >> 4
-        self.w2 = self.weight2.take(self.by_confidence[:k] + self.k2)
-        self.w1 = np.maximum((self.weight1.take(self.by_confidence[:k] + self.k1) * (248 - self.w2)) >> WEIGHT_BITS, 1)
-        self.named = self.w1 + self.w2
+        self.sure, self.c1, self.c2 = (g1 & 15) | (g2 & 15) << 4, g1 >> 4, g2 >> 4
+        w = self.weights.take(self.by_pair[:k] + self.sure)
+        self.named, self.w2 = w >> 8, w & 255
 
     def intervals(self, r: np.ndarray, said: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width, of TOTAL, of rank r (steps x lanes), of which said is known."""
         n = r.shape[1]
-        w2 = self.weight2.take(self.by_confidence[:n] + (said >> 4 & 15))
-        w1 = np.maximum((self.weight1.take(self.by_confidence[:n] + (said & 15)) * (248 - w2)) >> WEIGHT_BITS, 1)
-        return self._interval(self.share.take(self.by_width[:n] + r), w1, w2, w1 + w2, said >> 8 & 1 > 0, said >> 9 > 0)
-
-    def _interval(self, share: np.ndarray, w1: np.ndarray, w2: np.ndarray, named: np.ndarray, ok1: np.ndarray, ok2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = self.weights.take(self.by_pair[:n] + (said & 255))
+        share = self.share.take(self.by_width[:n] + r)
+        named, w2 = w >> 8, w & 255
         w0 = WEIGHTS - named
-        start = (named << SHARE_BITS) + w0 * (share >> 16).view(np.int32)
-        width = w0 * (share & 0xFFFF).view(np.int32)
-        i = ok1.nonzero()
-        start[i], width[i] = w2[i] << SHARE_BITS, w1[i] << SHARE_BITS
-        i = ok2.nonzero()
-        start[i], width[i] = 0, np.where(ok1[i], named[i], w2[i]) << SHARE_BITS
+        start, width = (named << SHARE_BITS) + w0 * (share >> 16).view(np.int32), w0 * (share & 0xFFFF).view(np.int32)
+        i = (said & 256).nonzero()
+        start[i], width[i] = w2[i] << SHARE_BITS, (named[i] - w2[i]) << SHARE_BITS
+        i = (said & 512).nonzero()
+        start[i], width[i] = 0, np.where(said[i] & 256, named[i], w2[i]) << SHARE_BITS
         return start.astype(U64), width.astype(U64)
 
     def find(self, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +107,7 @@ class _Model:
         rest = t - top
         i = (rest < 0).nonzero()[0]
         rest[i] = 0
-        r = self.rank_at.take(self.by_share[:k] + np.minimum(rest // w0, SHARES - 1))
+        r = self.rank_at.take(self.by_share[:k] + rest // w0)
         share = self.share.take(self.by_width[:k] + r)
         start, width = top + w0 * (share >> 16).view(np.int32), w0 * (share & 0xFFFF).view(np.int32)
         if len(i):
@@ -115,16 +115,16 @@ class _Model:
             both = c1 == c2
             two = (t[i] < w2 << SHARE_BITS) | both
             r[i] = np.where(two, c2, c1)
-            start[i], width[i] = np.where(two, 0, w2) << SHARE_BITS, np.where(both, self.named[i], np.where(two, w2, self.w1[i])) << SHARE_BITS
+            start[i], width[i] = np.where(two, 0, w2) << SHARE_BITS, np.where(both, self.named[i], np.where(two, w2, self.named[i] - w2)) << SHARE_BITS
         self.ok1, self.ok2 = self.c1 == r, self.c2 == r
         return r, start.astype(U64), width.astype(U64)
 
     def learn(self, r: np.ndarray, k: int) -> np.ndarray:
         """Returns confidences and hits as one number a lane: 4 bits for each order's confidence, a bit for each order's hit."""
-        own, ok1, ok2 = r << 4, self.ok1.view(np.uint8).astype(np.uint16), self.ok2.view(np.uint8).astype(np.uint16)
-        said = self.k1 | self.k2 << 4 | ok1 << 8 | ok2 << 9
-        self.guess1[self.at1] = own | np.minimum(self.k1 * ok1 + 1, CONFIDENCES - 1)
-        self.guess2[self.at2] = own | np.minimum(self.k2 * ok2 + 1, CONFIDENCES - 1)
+        own = r << 4
+        said = self.sure | self.ok1.view(np.uint8).astype(np.uint16) << 8 | self.ok2.view(np.uint8).astype(np.uint16) << 9
+        self.guess1[self.at1] = own | NEXT1.take(said)
+        self.guess2[self.at2] = own | NEXT2.take(said)
         self.before[:k] = self.last[:k]
         self.last[:k] = r
         return said
@@ -278,9 +278,11 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     for some in _by_length([p[0] for p in parsed]):
         some = [i for i in some if parsed[i][0]]
-        if some:
-            for i, x in zip(some, _decode([parsed[i] for i in some]), strict=True):
+        try:
+            for i, x in zip(some, _decode([parsed[i] for i in some]) if some else [], strict=True):
                 out[i] = x
+        except IndexError as e:
+            raise BlockError("a number is out of range") from e
     for x, p in zip(out, parsed, strict=True):
         if zlib.crc32(x.astype("<u4").tobytes()) != p[3]:
             raise BlockError("ids differ from their checksum")
@@ -304,6 +306,7 @@ def _decode(blocks: list[tuple[int, np.ndarray, np.ndarray, int]]) -> list[np.nd
     words = np.zeros((live, max(len(b[2]) for b in blocks) + 4), np.uint32)
     for j, b in enumerate(blocks):
         words[j, : len(b[2])] = b[2]
+    flat, by_word = words.reshape(-1), np.arange(live) * words.shape[1]
     x, rng, used = words[:, 0].astype(U64) << WORD | words[:, 1], np.full(live, 2**64 - 1, U64), np.full(live, 2)
     ranks = np.zeros((steps, live), np.int32)
     active = (lengths[None, :] > np.arange(steps)[:, None]).sum(axis=1)
@@ -313,7 +316,7 @@ def _decode(blocks: list[tuple[int, np.ndarray, np.ndarray, int]]) -> list[np.nd
             k = int(active[s])
             m.predict(k)
             unit = rng[:k] >> U64(TOTAL_BITS)
-            t = np.minimum(x[:k] // unit, U64(TOTAL - 1)).astype(np.int32)
+            t = (x[:k] // unit).astype(np.int32)
             r, start, width = m.find(t, k)
             ranks[s, :k] = r
             x[:k] -= unit * start
@@ -321,7 +324,7 @@ def _decode(blocks: list[tuple[int, np.ndarray, np.ndarray, int]]) -> list[np.nd
             said[s - a, :k] = m.learn(r, k)
             i = (rng[:k] < TOP).nonzero()[0]
             at = used[i]
-            x[i] = x[i] << WORD | words[i, at]
+            x[i] = x[i] << WORD | flat.take(by_word[i] + at)
             used[i] = at + 1
             rng[i] <<= WORD
         if b < steps:
