@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import words
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: label -> wording; they are few by nature, and their vocabulary is part of the plan.
+#: label -> wording
 TEMPLATES = {
     "apache-2.0-notice": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
     "bsd-terms": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
@@ -26,6 +26,7 @@ TEMPLATES = {
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 THRESHOLD = 0.8
+#: A plan has the vocabulary of up to so many templates.
 MAX_TEMPLATES = 1000
 
 
@@ -42,19 +43,13 @@ def block_size(templates: dict[str, str]) -> int:
     return max([len(t.split()) for t in templates.values()], default=1)
 
 
-def blocks(text: Column, size: int) -> Column:
-    """Word arrays of the text blocks: each line and the whole text, or of one of over 2 x size words all windows of 2 x size words at steps of size.
+def blocks(w: Column, size: int) -> Column:
+    """Word arrays of the text blocks: all words, or of over 2 x size words all windows of 2 x size words at steps of size.
 
-    So each run of up to ``size`` words is within a block, across line breaks too, and so is each line of up to 2 x size words.
+    So each run of up to ``size`` words is within a block, across line breaks too.
     """
-
-    def cut(w: Column) -> Column:
-        starts = F.when(F.size(w) > 2 * size, F.sequence(F.lit(0), F.size(w) - size - 1, F.lit(size))).otherwise(F.array(F.lit(0)))
-        return F.transform(starts, lambda s: F.slice(w, s + 1, 2 * size))
-
-    lines = F.split(text, "\n", -1)
-    pieces = F.when(F.size(lines) > 1, F.array_append(lines, text)).otherwise(lines)
-    return F.flatten(F.transform(pieces, lambda piece: cut(words(piece))))
+    starts = F.when(F.size(w) > 2 * size, F.sequence(F.lit(0), F.size(w) - size - 1, F.lit(size))).otherwise(F.array(F.lit(0)))
+    return F.transform(starts, lambda s: F.slice(w, s + 1, 2 * size))
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,21 +57,21 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
     n_base counts the places of all phrases; first_word and last_word are the smallest and largest word index at which one starts, or null.
     labels also has the templates that a block meets; score is 1 for a phrase, else the highest containment that meets the
-    threshold, else 0. Null and empty texts have no words and no labels. Rows that repeat an id with the same text give one
-    row, with different texts one each (text_key is the text's hash). Other columns are ignored.
+    threshold, else 0. Null and empty texts have no words and no labels. Repeated rows stay as they are (text_key is the text's hash); a
+    null id is an id like any other. Other columns are ignored. Templates go into a plan MAX_TEMPLATES at a time, each with a pass of its own.
     """
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"at most {MAX_TEMPLATES} templates are part of a plan")
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = _base(d, phrases)
-    found = _matches(d, templates, threshold)
-    empty = F.lit(None)
-    rows = base.withColumns({"label": empty.cast("string"), "share": F.lit(None).cast("double")})
-    if found is not None:
-        blank = {c: F.lit(None).cast(t) for c, t in base.dtypes if c not in ("id", "text_key")}
-        rows = rows.unionByName(found.withColumns(blank).select(*rows.columns))
-    g = rows.groupBy("id", "text_key").agg(F.max("n_words").alias("n_words"), F.max("n_base").alias("n_base"), F.max("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.max("base").alias("base"), F.collect_set("label").alias("more"), F.max("share").alias("share"))
-    return g.select("id", "text_key", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base", "more")), ",").alias("labels"), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"))
+    base, names = _base(d, phrases), list(templates)
+    found = [_matches(d, {k: templates[k] for k in names[i : i + MAX_TEMPLATES]}, threshold) for i in range(0, len(names), MAX_TEMPLATES)]
+    found = [x for x in found if x is not None]
+    if found:
+        met = reduce(DataFrame.unionByName, found).groupBy("id", "text_key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+        met = met.select(F.col("id").alias("met_id"), F.col("text_key").alias("met_key"), "more", "share")
+        base = base.join(met, F.col("id").eqNullSafe(F.col("met_id")) & (F.col("text_key") == F.col("met_key")), "left")
+    else:
+        base = base.withColumns({"more": F.array().cast("array<string>"), "share": F.lit(None).cast("double")})
+    labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
+    return base.select("id", "text_key", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"))
 
 
 def _base(d: DataFrame, phrases: dict[str, str]) -> DataFrame:
@@ -115,8 +110,8 @@ def _matches(d: DataFrame, templates: dict[str, str], threshold: float) -> DataF
     prefixes = spark.createDataFrame(index, "label string, token string, place int, n int, need int, tokens array<string>")
     first = sorted({x[1] for x in index})
     order = F.create_map(*[F.lit(y) for x, i in rank.items() for y in (x, i)])
-    gated = d.where(F.arrays_overlap(words(F.col("text")), _strings(first)))
-    b = gated.select("id", "text_key", F.explode(blocks(F.col("text"), block_size(templates))).alias("b"))
+    gated = d.select("id", "text_key", words(F.col("text")).alias("w")).where(F.arrays_overlap("w", _strings(first)))
+    b = gated.select("id", "text_key", F.explode(blocks(F.col("w"), block_size(templates))).alias("b"))
     b = b.select("id", "text_key", F.array_intersect("b", _strings(vocabulary)).alias("b")).where(F.size("b") >= min(x[4] for x in index))  # length
     b = b.withColumn("b", F.transform(F.array_sort(F.transform("b", lambda x: F.struct(F.element_at(order, x).alias("rank"), x.alias("token")))), lambda x: x["token"]))
     at = b.select("id", "text_key", "b", F.posexplode("b").alias("i", "token"))

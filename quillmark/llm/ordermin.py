@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .bytetools import U64, mix, runs, word_hashes
+from .common import fresh
 from .components import components
 
 K = 5
@@ -227,5 +228,6 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
 
 def drop_near_texts(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class: that of the smallest id. All columns stay; rows with a null id stay too."""
-    gone = near_texts(docs, similarity, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("_q_id"))
-    return docs.join(gone, F.col(id_col) == F.col("_q_id"), "left_anti")
+    own = fresh(docs, "_q_id")
+    gone = near_texts(docs, similarity, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias(own))
+    return docs.join(gone, F.col(id_col) == F.col(own), "left_anti")

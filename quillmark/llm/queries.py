@@ -90,8 +90,7 @@ phrases AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES {phrases}) v(p,
 places AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)::BIGINT - len(p)::BIGINT + 1), lambda i: w[i + 1 : i + len(p)] = p)) AS i
     FROM w, phrases WHERE list_has_all(w, p)),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS base FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{WORD_SQL}') AS w FROM d),
-blocks AS (SELECT doc_id, unnest(CASE WHEN len(w) > {2 * size} THEN list_transform(range(0, len(w)::BIGINT - {size}, {size}), lambda s: w[s + 1 : s + {2 * size}]) ELSE [w] END) AS b FROM lines WHERE len(w) > 0),
+blocks AS (SELECT doc_id, unnest(CASE WHEN len(w) > {2 * size} THEN list_transform(range(0, len(w)::BIGINT - {size}, {size}), lambda s: w[s + 1 : s + {2 * size}]) ELSE [w] END) AS b FROM w WHERE len(w) > 0),
 templates AS (SELECT label, list_distinct(string_split(t, ' ')) AS tokens, need FROM (VALUES {templates}) v(label, t, need)),
 met AS (SELECT doc_id, label, len(list_intersect(b, tokens)) / len(tokens)::DOUBLE AS share FROM blocks, templates WHERE len(list_intersect(b, tokens)) >= need),
 more AS (SELECT doc_id, list_distinct(list(label)) AS more, max(share) AS share FROM met GROUP BY doc_id)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, fresh
 
 #: A trie of more rules than this (some 300 bytes each) is not broadcast: ``judge_urls`` then joins by rule key.
 MAX_BROADCAST_RULES = 200_000
@@ -108,7 +108,8 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule] = RULES, url_col: str = "
         found = [trie.value.find(h, p) for h, p in zip(host, path, strict=True)]
         return pd.DataFrame({"rule": pd.Series([r.key if r else None for r in found], dtype=object), "verdict": [r.action if r else default for r in found]})
 
-    return d.withColumn("_q", judged("host", "path")).select("*", "_q.rule", "_q.verdict").drop("_q")
+    q = fresh(d, "_q")
+    return d.withColumn(q, judged("host", "path")).select("*", f"{q}.rule", f"{q}.verdict").drop(q)
 
 
 def _judge_by_join(d: DataFrame, rules: list[Rule], default: str) -> DataFrame:
@@ -117,5 +118,6 @@ def _judge_by_join(d: DataFrame, rules: list[Rule], default: str) -> DataFrame:
     labels = F.split("host", r"\.")
     parents = F.concat(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")), F.array(F.lit("")))
     u = d.select("host", "path").distinct().withColumn("r_host", F.explode_outer(F.array_distinct(parents)))
-    best = u.join(r, "r_host").where(F.col("path").startswith(F.col("r_path"))).groupBy("host", "path").agg(F.max(F.struct("n", "p", "b", "key", "action")).alias("_q"))
-    return d.join(best, ["host", "path"], "left").select(*d.columns, F.col("_q.key").alias("rule"), F.coalesce("_q.action", F.lit(default)).alias("verdict"))
+    q = fresh(d, "_q")
+    best = u.join(r, "r_host").where(F.col("path").startswith(F.col("r_path"))).groupBy("host", "path").agg(F.max(F.struct("n", "p", "b", "key", "action")).alias(q))
+    return d.join(best, ["host", "path"], "left").select(*d.columns, F.col(f"{q}.key").alias("rule"), F.coalesce(f"{q}.action", F.lit(default)).alias("verdict"))
