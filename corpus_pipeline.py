@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import decontaminate, ordermin, packing, suffixes, toxicity
+from quillmark.llm.common import fresh
 from quillmark.llm.queries import tokenizer_path
 from quillmark.session import materialize, table
 
@@ -23,7 +24,8 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on the labelled ones that are not held out, scores at the threshold or higher go."""
     net = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net, name="_q_score").where(F.col("_q_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = fresh(docs, "_q_score")
+    return toxicity.score(docs, net, name=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
