@@ -1,9 +1,11 @@
 """Embedding near-duplicates: cover trees and their dual traversal find every pair of a cosine at or above a threshold.
 
-On unit vectors a cosine is a distance, so the triangle inequality holds. Vectors of a label are dealt to blocks; each pair of blocks is
-a task of its own, in which both blocks get a cover tree: nested levels of centres with halving radii. Pairs of nodes whose
-centres are farther apart than both covering radii and the threshold's distance are pruned with all below them. Of pairs that
-are left at the leaves the cosine is taken. A task returns link counts and a forest, not pairs.
+On unit vectors a cosine is a distance, so the triangle inequality holds. A cover tree has nested levels of centres with halving radii. Its
+top is made once for each label of many vectors, from a bounded sample: all vectors are dealt to cells by their nearest centre, and a cell's
+covering radius is that of all its vectors. Pairs of cells whose centres are farther apart than both radii and the threshold's
+distance are pruned with all in them; what is left is a task for each pair, in which both sides get the rest of their trees, whose pairs of
+nodes are pruned likewise. Of pairs that are left at the leaves the cosine is taken. Cells of over BLOCK vectors are split into parts, so
+no task depends on a label's or a cell's size. A task returns link counts and a forest, not pairs.
 """
 
 from __future__ import annotations
@@ -15,27 +17,52 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .components import components
 
 BLOCK = 2048
-RADII = (1.0, 0.5, 0.25)
+#: Bounds of what the driver and each task know of the tops of the trees: centres and their components.
+MAX_CENTRES, MAX_NUMBERS = 4096, 4 << 20
+#: Vectors of the sample for each centre that is wanted.
+SAMPLE = 4
+#: Pairs of near cells that are listed; where there were more, hardly any is pruned, and fewer centres serve as well.
+MAX_PAIRS = 1 << 20
 SLACK = 1e-9
 
 
+def _radii(threshold: float) -> list[float]:
+    """Halving radii down to about the distance at which vectors are linked."""
+    return [0.5**k for k in range(11) if k < 3 or 0.5**k >= _reach(threshold)]
+
+
+def _reach(threshold: float) -> float:
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+
+
+def _cover(x: np.ndarray, rows: np.ndarray, r: float) -> list[np.ndarray]:
+    """Rows in groups, each within r of its first; the firsts are over r apart."""
+    out, least = [], 1 - r * r / 2
+    while len(rows):
+        near = x[rows] @ x[rows[0]] >= least
+        near[0] = True
+        out.append(rows[near])
+        rows = rows[~near]
+    return out
+
+
 class CoverTree:
     """``levels[k]``: (centre rows, covering radii, children in the next level as offsets); the last level is the points themselves."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, threshold: float = 0.98):
         self.x = x
         members = [np.arange(len(x))]
         self.centres, self.radii, self.children = [], [], []
         groups = members
-        for r in RADII:
+        for r in _radii(threshold):
             below: list[np.ndarray] = []
             counts = []
             for g in groups:
-                kids = self._cover(g, r)
+                kids = _cover(x, g, r)
                 counts.append(len(kids))
                 below += kids
             self._add(groups, np.array(counts))
@@ -43,16 +70,6 @@ class CoverTree:
         self._add(groups, np.array([len(g) for g in groups]))
         self.points = np.concatenate(groups) if groups else np.zeros(0, np.int64)
 
-    def _cover(self, rows: np.ndarray, r: float) -> list[np.ndarray]:
-        """Rows in groups, each within r of its first; the firsts are over r apart."""
-        out, least = [], 1 - r * r / 2
-        while len(rows):
-            near = self.x[rows] @ self.x[rows[0]] >= least
-            near[0] = True
-            out.append(rows[near])
-            rows = rows[~near]
-        return out
-
     def _add(self, groups: list[np.ndarray], counts: np.ndarray) -> None:
         self.centres.append(np.array([g[0] for g in groups], np.int64))
         self.radii.append(np.array([math.sqrt(max(0.0, 2 - 2 * float((self.x[g] @ self.x[g[0]]).min()))) if len(g) > 1 else 0.0 for g in groups]))
@@ -65,7 +82,7 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def dual_links(a: CoverTree, b: CoverTree, threshold: float, found) -> None:
     """Calls ``found(rows of a, rows of b, linked matrix)`` for all pairs of points that may be linked; others are not."""
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    reach = _reach(threshold)
     if not len(a.x) or not len(b.x):
         return
     partners = [np.array([0])]
@@ -115,11 +132,11 @@ def _links_of_blocks(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, side: n
         for i in some:
             forest.join(np.append(q[linked[i]], p[i]))
 
-    a = CoverTree(x[one])
+    a = CoverTree(x[one], threshold)
     if (side == 0).any():
         dual_links(a, a, threshold, lambda p, q, m: found(p, q, m, one, one))
     else:
-        dual_links(a, CoverTree(x[two]), threshold, found)
+        dual_links(a, CoverTree(x[two], threshold), threshold, found)
     some = counts > 0
     return pd.DataFrame({"id": ids[some], "n": counts[some], "root": ids[forest.root[some]]})
 
@@ -138,6 +155,102 @@ def unit(vectors: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def top_centres(x: np.ndarray, wanted: int, threshold: float) -> np.ndarray:
+    """The centres of the highest level of a cover tree of ``x`` that has as many as wanted, or of its lowest level."""
+    groups = [np.arange(len(x))]
+    for r in _radii(threshold):
+        if len(groups) >= wanted:
+            break
+        groups = [kid for g in groups for kid in _cover(x, g, r)]
+    return x[[g[0] for g in groups if len(g)]]
+
+
+def _tops(reps: DataFrame, sizes: DataFrame, threshold: float, block: int) -> dict[tuple[str, int], np.ndarray]:
+    """(label, dim) -> centres, of the largest labels of over ``block`` vectors. Bounded by MAX_CENTRES and MAX_NUMBERS, whatever the table has."""
+    big = sizes.where(F.col("n") > block).orderBy(F.desc("n"), "label", "dim").limit(MAX_CENTRES // 2).collect()
+    wanted, left = {}, (MAX_CENTRES, MAX_NUMBERS)
+    for r in big:
+        k = min(2 * -(-r["n"] // block), MAX_CENTRES // max(2, len(big)) + 1, left[0], left[1] // (SAMPLE * r["dim"]))
+        if k < 2:
+            continue
+        wanted[r["label"], r["dim"]] = k, min(1.0, SAMPLE * k / r["n"])
+        left = left[0] - k, left[1] - SAMPLE * k * r["dim"]
+    if not wanted:
+        return {}
+    rates = reps.sparkSession.createDataFrame([(*key, int(rate * (1 << 31))) for key, (_, rate) in wanted.items()], "label string, dim int, below long")
+    some = reps.join(F.broadcast(rates), ["label", "dim"]).where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 31)) < F.col("below"))
+    found: dict[tuple[str, int], list] = {key: [] for key in wanted}
+    for r in some.select("label", "dim", "id", "v").collect():  # about SAMPLE vectors a centre
+        found[r["label"], r["dim"]].append((r["id"], r["v"]))
+    return {key: top_centres(np.array([v for _, v in sorted(x)]), wanted[key][0], threshold) for key, x in found.items() if len(x) > 1}
+
+
+def near_cells(centres: np.ndarray, radii: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of cells, each with itself and in both orders, of which vectors may be linked."""
+    near = _distance(centres, centres) <= radii[:, None] + radii[None, :] + _reach(threshold) + SLACK
+    np.fill_diagonal(near, True)
+    return np.nonzero(near)
+
+
+def _nearest(tops):
+    """A function of (label, v): the nearest centre of the label and its distance; -1 for labels without centres."""
+
+    @F.pandas_udf("cell int, distance double")
+    def nearest(label: pd.Series, v: pd.Series) -> pd.DataFrame:
+        cell, distance = np.full(len(v), -1, np.int32), np.zeros(len(v))
+        dims = v.map(len)
+        for key, centres in tops.value.items():
+            rows = np.flatnonzero((label == key[0]).to_numpy() & (dims == key[1]).to_numpy())
+            for i in range(0, len(rows), 1024):
+                part = rows[i : i + 1024]
+                away = _distance(np.stack(v.to_numpy()[part]), centres)
+                cell[part], distance[part] = away.argmin(axis=1), away.min(axis=1)
+        return pd.DataFrame({"cell": cell, "distance": distance})
+
+    return nearest
+
+
+def _dealt(reps: DataFrame, threshold: float, block: int) -> DataFrame:
+    """A row for each task that a vector takes part in: label, dim, part p of cell i with part q of cell j, side (see ``_links_of_blocks``), id, copies, v."""
+    spark = reps.sparkSession
+    d = reps.select(F.col("label").cast("string").alias("label"), F.size("v").alias("dim"), "id", "copies", "v")
+    sizes = d.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    tops = _tops(d, sizes, threshold, block)
+    while True:
+        if not tops:
+            cells = d.withColumn("cell", F.lit(-1))
+            break
+        nearest = _nearest(spark.sparkContext.broadcast(tops))
+        cells = materialize(d.withColumn("c", nearest("label", "v")).select("*", "c.cell", "c.distance").drop("c"))
+        stats = cells.where("cell >= 0").groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()  # a row for each centre
+        by_label: dict[tuple[str, int], list] = {}
+        for r in sorted(stats, key=lambda r: r["cell"]):
+            by_label.setdefault((r["label"], r["dim"]), []).append(r)
+        listed, coarser = [], dict(tops)
+        for key, rs in by_label.items():
+            own = np.array([r["cell"] for r in rs])
+            i, j = near_cells(tops[key][own], np.array([r["radius"] for r in rs]), threshold)
+            parts = [-(-r["n"] // block) for r in rs]
+            if len(i) > MAX_PAIRS // len(by_label) and len(own) > 64:
+                coarser[key] = tops[key][: len(tops[key]) // 2]
+            listed += [(*key, int(own[x]), parts[x], int(own[y]), parts[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)] if coarser[key] is tops[key] else []
+        if all(coarser[k] is tops[k] for k in tops):
+            break
+        tops = coarser
+        discard(cells)
+    schema = "label string, dim int, cell int, parts int, other int, other_parts int"
+    parts = F.ceil(F.col("n") / block).cast("int")
+    near = sizes.select("label", "dim", F.lit(-1).alias("cell"), parts.alias("parts"), F.lit(-1).alias("other"), parts.alias("other_parts"))
+    if tops:
+        near = near.unionByName(spark.createDataFrame(listed, schema))
+    rows = cells.join(near, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
+    own, other = F.struct(F.col("cell").alias("c"), F.col("part").alias("p")), F.struct(F.col("other").alias("c"), F.col("other_part").alias("p"))
+    side = F.when(own == other, 0).when(own < other, 1).otherwise(2)
+    lo, hi = F.least(own, other), F.greatest(own, other)
+    return rows.select("label", "dim", lo["c"].alias("i"), lo["p"].alias("p"), hi["c"].alias("j"), hi["p"].alias("q"), side.alias("side"), "id", "copies", "v")
+
+
 def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
     """One row per distinct id: vec_id, n_links, component_id, kept.
 
@@ -150,19 +263,13 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
     valid = d.where("v is not null and label is not null")
     reps = materialize(valid.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     same = valid.join(reps.select("label", "v", F.col("id").alias("rep"), "copies"), ["label", "v"]).select("id", "rep", "copies")
-    dim = F.size("v")
-    sizes = reps.groupBy("label", dim.alias("dim")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = reps.withColumn("dim", dim).join(sizes, ["label", "dim"])
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "copies", "v")
+    dealt = _dealt(reps, threshold, block)
 
     def linked(df: pd.DataFrame) -> pd.DataFrame:
         x = np.array(df["v"].tolist(), np.float64).reshape(len(df), -1)
         return _links_of_blocks(df["id"].to_numpy(), df["copies"].to_numpy(), x, df["side"].to_numpy(), threshold)
 
-    found = materialize(dealt.groupBy("label", "dim", "i", "j").applyInPandas(linked, "id long, n long, root long"))
+    found = materialize(dealt.groupBy("label", "dim", "i", "p", "j", "q").applyInPandas(linked, "id long, n long, root long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     per_rep = counts.join(comp.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("rep"), "n", "component")

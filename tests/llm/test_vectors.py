@@ -49,6 +49,37 @@ def test_equals_brute_force(spark, block):
     assert got == brute(rows)
 
 
+def clusters(n=600, dim=8, near=0.02, seed=4):
+    g = np.random.default_rng(seed)
+    c = g.standard_normal((30, dim))
+    return [(i, (c[i % 30] + near * g.standard_normal(dim)).astype(np.float32).tolist(), i % 7 == 0) for i in range(n)]
+
+
+def test_cells_equal_brute_force_and_prune_pairs(spark):
+    rows = [(i, v, int(k)) for i, v, k in clusters()]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(table(spark, rows), block=20).collect()}
+    assert got == brute(rows)
+    unit = np.array([v for _, v, k in rows if not k], np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    reps = spark.createDataFrame([(i, 1, u.tolist(), 0) for i, u in enumerate(unit)], "id long, copies long, v array<double>, label int")
+    dealt = vectors._dealt(reps, 0.98, 20)
+    pairs = dealt.select("i", "p", "j", "q").distinct().collect()
+    cells = {(r["i"], r["p"]) for r in pairs} | {(r["j"], r["q"]) for r in pairs}
+    assert len(cells) > 20 and len(pairs) < 0.25 * len(cells) * (len(cells) + 1) / 2
+    assert dealt.where("side <= 1").select("id").distinct().count() == len(unit)
+
+
+@pytest.mark.parametrize("most", [64, 4096])
+def test_unprunable_vectors_and_few_centres(spark, monkeypatch, most):
+    monkeypatch.setattr(vectors, "MAX_PAIRS", 500)
+    monkeypatch.setattr(vectors, "MAX_CENTRES", most)
+    g = np.random.default_rng(1)
+    rows = [(i, g.standard_normal(40).astype(np.float32).tolist(), 0) for i in range(500)]
+    rows += [(1000 + i, rows[i][1], 0) for i in range(5)] + [(2000 + i, [x * 1.001 + 0.01 for x in rows[i][1]], 0) for i in range(300)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(table(spark, rows), block=10).collect()}
+    assert got == brute(rows)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_trees_find_every_pair(seed):
     g = np.random.default_rng(seed)
