@@ -29,8 +29,8 @@ from .components import components
 K = 5
 SIMILARITY = 0.8
 SKETCHES, TUPLE = 24, 3
-#: Buckets of up to FEW members give pairs; larger ones are cut into blocks of about BLOCK_KMERS k-mers.
-FEW, BLOCK_KMERS = 8, 400_000
+#: Buckets of up to FEW members give pairs; larger ones are cut into blocks of about BLOCK_KMERS k-mers and BLOCK_TEXTS texts.
+FEW, BLOCK_KMERS, BLOCK_TEXTS = 8, 400_000, 1024
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, SKETCHES, dtype=U64)
 _ORDER = np.random.default_rng(78).integers(1, 2**63, TUPLE, dtype=U64) | U64(1)
 _PLACE = np.random.default_rng(79).integers(1, 2**63, K, dtype=U64) | U64(1)
@@ -217,7 +217,7 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     least = F.least("x.n", "y.n") * (1 + similarity) >= (F.col("x.n") + F.col("y.n")) * similarity - 1e-6
     more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & least)
     more = more.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    many = m.join(mixed.where(F.col("members") > FEW).select("bucket", F.ceil(F.col("total") / BLOCK_KMERS).cast("int").alias("blocks")), "bucket")
+    many = m.join(mixed.where(F.col("members") > FEW).select("bucket", F.ceil(F.greatest(F.col("total") / BLOCK_KMERS, F.col("members") / BLOCK_TEXTS)).cast("int").alias("blocks")), "bucket")
     more_links = verified(more, texts, similarity, k).unionByName(_links_in_blocks(many, texts, similarity, k))
     second = materialize(more_links)
     if not second.isEmpty():

@@ -5,10 +5,7 @@ import pytest
 from quillmark.llm import toxicity as T
 from quillmark.llm.bytetools import runs
 
-from .helpers import documents
-
-#: The smaller tables have some 30 toxic texts to learn from; what comes of that is stated in the README.
-SF = "/root/testdata/sf0.1"
+from .helpers import documents, words
 
 
 def inputs(texts, most=1 << 20):
@@ -34,6 +31,44 @@ def test_gradient_equals_differences():
             assert d[at] == pytest.approx((loss[0] - loss[1]) / 2e-4, rel=0.05, abs=2e-5), name
 
 
+def plain_score(net, text):
+    """The network in plain loops, a word at a time."""
+    p, H, ws = net.p, T.HIDDEN, [w.encode() for w in words(text)]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def embedded(w):
+        one = np.frombuffer(w, np.uint8)
+        bucket = int(T.word_hashes(one, np.array([0, len(one)]))[0][0]) % T.WORDS
+        padded = b"\x01" + w + b"\x02"
+        tri = [((padded[i] * 65536 + padded[i + 1] * 256 + padded[i + 2]) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % T.TRIGRAMS for i in range(len(w))]
+        return p["word"][bucket].astype(float) + sum(p["tri"][t].astype(float) for t in tri) / len(tri)
+
+    def states(es, d):
+        h, out = np.zeros(H), []
+        for e in es:
+            a, b = e @ p[f"{d}x"] + p[f"{d}c"], h @ p[f"{d}h"]
+            z, r = sigmoid(a[:H] + b[:H]), sigmoid(a[H : 2 * H] + b[H : 2 * H])
+            c = np.tanh(a[2 * H :] + r * b[2 * H :])
+            h = (1 - z) * c + z * h
+            out.append(h)
+        return out
+
+    tops = []
+    for a in range(0, max(1, len(ws) - T.STRIDE), T.STRIDE):
+        es = [embedded(w) for w in ws[a : a + T.WINDOW]]
+        both = [np.concatenate(x) for x in zip(states(es, "f"), states(es[::-1], "b")[::-1], strict=True)]
+        weight = np.exp([np.tanh(h @ p["ax"] + p["ac"]) @ p["av"] for h in both])
+        pooled = sum((w / weight.sum() * h for w, h in zip(weight, both, strict=True)), np.zeros(2 * H))
+        tops.append(pooled @ p["o"] + p["oc"][0])
+    return sigmoid(net.scale * max(tops) + net.shift)
+
+
+def test_scores_equal_plain_loops():
+    texts = ["you are a nice river", "Stone, by stone; the WALL grows é " * 30, "", "...", "x", *(" ".join(f"w{i}" for i in range(n)) for n in (31, 32, 33, 64, 65, 97, 161))]
+    net = T.fit(["you are bad " * 20, "stone by stone " * 30, "bad river", "a nice wall"], np.array([1, 0, 1, 0]), steps=20)
+    assert net.scores(inputs(texts), len(texts)) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-4)
+
+
 def test_windows_cover_every_word_and_runs_do_not_matter():
     texts = [" ".join(f"w{i}" for i in range(n)) for n in (0, 1, 31, 32, 63, 64, 65, 96, 97, 500)]
     x, y, net = inputs(texts), inputs(texts, 100), T.Network()
@@ -44,8 +79,10 @@ def test_windows_cover_every_word_and_runs_do_not_matter():
     assert np.allclose(net.scores(x, len(texts)), net.scores(y, len(texts)), atol=1e-6)
 
 
-def test_held_out_rows(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+@pytest.mark.parametrize("sf, least", [("sf0.01", 0.7), ("sf0.1", 0.9)])
+def test_held_out_rows(spark, sf, least):
+    """The smaller table has some 30 toxic texts to learn from; the README states what comes of that."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{n}.parquet") for n in ("documents", "labels"))
     df, share = T.sample(docs, labels)
     assert not any(T.held_out(d) for d in df["doc_id"]) and 0 < share < 0.5
     net = T.train(docs, labels)
@@ -54,7 +91,7 @@ def test_held_out_rows(spark):
     y, s = np.array([r["toxic"] for r in out]), np.array([r["score"] for r in out])
     assert len(y) > 50 and ((s >= 0) & (s <= 1)).all()
     auc = np.mean([float(a > b) + 0.5 * float(a == b) for a in s[y == 1] for b in s[y == 0]])
-    assert auc >= 0.85
+    assert auc >= least
 
 
 def test_odd_rows(spark):
