@@ -114,8 +114,28 @@ def receiver_type(receiver: Column) -> Column:
 
 
 def jdk_number(version: Column) -> Column:
+    """``1.8`` is 8; else the leading digits, of which there may be none."""
     v = F.trim(version)
-    return F.when(v.startswith("1."), F.substring(v, 3, 1 << 20)).otherwise(F.coalesce(F.nullif(F.regexp_extract(v, r"^(\d+)", 1), F.lit("")), v))
+    return F.when(v.startswith("1.") & (F.length(v) > 2), F.substring(v, 3, 1 << 20)).otherwise(F.regexp_extract(v, r"^([0-9]*)", 1))
+
+
+#: White space in patterns, as Unicode has it.
+SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def csv_items(text: Column) -> Column:
+    """The items of a comma-separated list, without outer white space and empty ones; none of a null."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ",", -1), stripped), lambda x: x != "")
+
+
+def similarity_lines(text: Column) -> Column:
+    """The lines of a text for comparing: runs of white space are one space, outer ones and empty lines go."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: stripped(F.regexp_replace(x, SPACE + "+", " ")))
+    return F.filter(lines, lambda x: x != "")
 
 
 def first_filled(*values: Column) -> Column:

@@ -38,13 +38,12 @@ def limits(max_files: int, max_chars: int) -> tuple[int, int]:
 
 
 def one_per_message(ranks: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(message, path, body): as the counter runs full after each file, a message is one file. The body, header, fence and text, is cut to the budget
-    less one byte, which goes to a closing line feed."""
+    """(message, path, body): as the counter runs full after each file, a message is one file. Header, fence and text are cut to the budget, in bytes;
+    a line feed follows unless header and fence alone fill it."""
     _, budget = limits(0, max_chars)
-    head = header(F.col("path"), F.col("package"), F.col("class"), F.col("exports"))
-    whole = F.concat(head, F.lit("```"), paths.fence_of(F.col("path")), F.lit("\n"), F.col("text"))
-    cut = F.concat(F.substring(whole.cast("binary"), 1, budget - 1), F.lit(b"\n"))
-    return ranks.select(F.col("rank").alias("message"), "path", cut.alias("body"))
+    head = F.concat(header(F.col("path"), F.col("package"), F.col("class"), F.col("exports")), F.lit("```"), paths.fence_of(F.col("path")), F.lit("\n"))
+    cut = F.substring(F.concat(head, F.col("text")).cast("binary"), 1, budget)
+    return ranks.select(F.col("rank").alias("message"), "path", F.when(F.octet_length(head) < budget, F.concat(cut, F.lit(b"\n"))).otherwise(cut).alias("body"))
 
 
 def next_fit(items: DataFrame, max_files: int = MAX_FILES, max_chars: int = MAX_CHARS) -> DataFrame:

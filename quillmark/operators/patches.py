@@ -27,21 +27,34 @@ def keep_feeds(text: str) -> list[str]:
     return [x + "\n" for x in parts[:-1]] + [parts[-1]]
 
 
-def omitted(old: str, new: str) -> str:
-    return f"# diff omitted: old {len(old.encode())} bytes, new {len(new.encode())} bytes\n"
+def omitted(before: str, after: str) -> str:
+    """Stands for a patch that is left out; a fixed format, which patch readers take."""
+    return f"--- {before}\n+++ {after}\n@@\n# diff omitted (oversize)\n"
+
+
+def added(new: str | None, path: str, options: DiffOptions) -> tuple[str, bool]:
+    """(patch, oversize) of a new file. An empty one has no lines to show and gets the placeholder, but is not oversize."""
+    new = new or ""
+    if 0 < options.max_bytes < len(new.encode()):
+        return omitted("/dev/null", path if options.no_prefix else "b/" + path), True
+    text = "".join(difflib.unified_diff([], keep_feeds(new), "/dev/null", path, n=lines_around(options)))
+    return text or omitted("/dev/null", path), False
+
+
+def lines_around(options: DiffOptions) -> int:
+    return options.context if options.context > 0 else DiffOptions.context
 
 
 def unified(old: str | None, new: str | None, path: str, options: DiffOptions) -> tuple[str, bool]:
-    """(patch, oversize). Without an old text, or when the patch would be degenerate, the file counts as added."""
+    """(patch, oversize). Without an old text, or when the patch has no hunk to speak of, the file counts as added."""
     old, new = old or "", new or ""
-    if options.max_bytes > 0 and len(old.encode()) + len(new.encode()) > options.max_bytes:
-        return omitted(old, new), True
-    a, b = ("", "") if options.no_prefix else ("a/", "b/")
-    added = lambda: "".join(difflib.unified_diff([], keep_feeds(new), "/dev/null", path, n=options.context))
-    text = added() if not old else "".join(difflib.unified_diff(keep_feeds(old), keep_feeds(new), a + path, b + path, n=options.context))
-    if old and (len(text) < 32 or "@@" not in text):
-        text = added()
-    return (text, False) if text else (omitted(old, new), True)
+    if not old:
+        return added(new, path, options)
+    a, b = (path, path) if options.no_prefix else ("a/" + path, "b/" + path)
+    if 0 < options.max_bytes < len(old.encode()) + len(new.encode()):
+        return omitted(a, b), True
+    text = "".join(difflib.unified_diff(keep_feeds(old), keep_feeds(new), a, b, n=lines_around(options))) or omitted(a, b)
+    return (text, False) if len(text.encode()) >= 32 and "@@" in text else added(new, path, options)
 
 
 def make_patches(rows: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
@@ -55,6 +68,17 @@ def make_patches(rows: DataFrame, options: DiffOptions = DiffOptions()) -> DataF
     return rows.withColumn("_p", patched("path", "old", "new")).select("path", "_p.patch", "_p.oversize")
 
 
+def make_added_patches(rows: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
+    """(path, patch, oversize) of new files (path, text)."""
+
+    @F.pandas_udf("patch string, oversize boolean")
+    def patched(path: pd.Series, text: pd.Series) -> pd.DataFrame:
+        out = [added(t, p, options) for p, t in zip(path, text, strict=True)]
+        return pd.DataFrame({"patch": [x[0] for x in out], "oversize": [x[1] for x in out]})
+
+    return rows.withColumn("_p", patched("path", "text")).select("path", "_p.patch", "_p.oversize")
+
+
 def patch_inputs(changed: DataFrame, blobs: DataFrame, current: DataFrame) -> DataFrame:
     """(path, old, new): changed (path, hash_before) with old texts by hash from blobs (hash, text), new ones by path from current (path, text)."""
     old = blobs.select(F.col("hash").alias("hash_before"), F.col("text").alias("old"))
@@ -63,13 +87,15 @@ def patch_inputs(changed: DataFrame, blobs: DataFrame, current: DataFrame) -> Da
 
 
 def patch_names(rows: DataFrame, hash_col: str = "hash") -> DataFrame:
-    """(path, name): the flat base of a path; if a smaller path has it, with the short hash; if that is taken too, with another of the path."""
+    """(path, name): the flat base of a path; if a smaller path has it, with the first 8 of the hash (of the path's hash where there is none); if that is
+    taken too, also with the short hash of base and suffix. From the third of equal base and suffix on names repeat; archives tell them apart."""
     base = paths.patch_base(F.col("path"))
-    r = rows.select("path", base.alias("base"), F.left(F.col(hash_col), F.lit(8)).alias("h"))
+    r = rows.select("path", base.alias("base"), F.coalesce(F.nullif(F.left(F.col(hash_col), F.lit(8)), F.lit("")), paths.short_hash(F.col("path"))).alias("h"))
     r = r.withColumn("i", F.row_number().over(Window.partitionBy("base").orderBy("path")))
     r = r.withColumn("j", F.row_number().over(Window.partitionBy("base", "h", F.col("i") > 1).orderBy("path")))
-    name = F.when(F.col("i") == 1, F.concat("base", F.lit(".patch"))).when(F.col("j") == 1, F.concat_ws("", "base", F.lit("-"), "h", F.lit(".patch"))).otherwise(F.concat_ws("", "base", F.lit("-"), "h", F.lit("-"), paths.short_hash(F.col("path")), F.lit(".patch")))
-    return r.select("path", name.alias("name"))
+    first = F.concat_ws("", "base", F.lit("-"), "h")
+    name = F.when(F.col("i") == 1, F.col("base")).when(F.col("j") == 1, first).otherwise(F.concat(first, F.lit("-"), paths.short_hash(F.concat("base", "h"))))
+    return r.select("path", F.concat(name, F.lit(".patch")).alias("name"))
 
 
 def entry_names(rows: DataFrame, name_col: str = "name", order_col: str = "ord") -> DataFrame:

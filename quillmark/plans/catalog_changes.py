@@ -136,14 +136,14 @@ CLASH = "regexp_replace(path, '/d[0-9]*([0-9])[0-9]*[.]', CASE WHEN length(text)
 
 @query(
     "patch_names",
-    f"""WITH {BASE}, x AS (SELECT path, min(hash) AS hash FROM (SELECT {CLASH} AS path, CASE WHEN lines % 2 = 0 THEN 'feedbeef' ELSE hash END AS hash FROM curr) GROUP BY path),
-b AS (SELECT path, hash[1:8] AS h, {FLAT} AS base FROM x),
+    f"""WITH {BASE}, x AS (SELECT path, min(hash) AS hash FROM (SELECT {CLASH} AS path, CASE WHEN lines % 2 = 0 THEN 'feedbeef' WHEN lines % 5 = 0 THEN '' ELSE hash END AS hash FROM curr) GROUP BY path),
+b AS (SELECT path, coalesce(nullif(hash[1:8], ''), sha256(path)[1:8]) AS h, {FLAT} AS base FROM x),
 i AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) AS i FROM b),
 j AS (SELECT *, row_number() OVER (PARTITION BY base, h, i > 1 ORDER BY path) AS j FROM i)
-SELECT path, CASE WHEN i = 1 THEN base || '.patch' WHEN j = 1 THEN base || '-' || h || '.patch' ELSE base || '-' || h || '-' || sha256(path)[1:8] || '.patch' END AS name FROM j""",
+SELECT path, CASE WHEN i = 1 THEN base || '.patch' WHEN j = 1 THEN base || '-' || h || '.patch' ELSE base || '-' || h || '-' || sha256(base || h)[1:8] || '.patch' END AS name FROM j""",
 )
 def patch_names(spark, d):
-    curr = corpora.corpus(spark, d, "curr").select(F.expr(CLASH).alias("path"), F.expr("CASE WHEN lines % 2 = 0 THEN 'feedbeef' ELSE hash END").alias("hash"))
+    curr = corpora.corpus(spark, d, "curr").select(F.expr(CLASH).alias("path"), F.expr("CASE WHEN lines % 2 = 0 THEN 'feedbeef' WHEN lines % 5 = 0 THEN '' ELSE hash END").alias("hash"))
     return patches.patch_names(curr.groupBy("path").agg(F.min("hash").alias("hash")))
 
 

@@ -191,7 +191,7 @@ def symbol_pointers(spark, d):
     return slices.symbol_pointers(S.symbols(_code(spark, d)))
 
 
-RESOLVER = imports.Resolver("src", (("pkg*", "src/brand2*"), ("side-*", "src/*/none")))
+RESOLVER = imports.Resolver("src", (("pkg*", "src/brand12/f*"), ("side-*", "src/*/none")))
 _FOLD = "list_reduce(list_prepend('', string_split({0}, '/')), lambda a, x: CASE WHEN x IN ('', '.') THEN a WHEN x = '..' THEN CASE WHEN a = '' OR a = '..' OR ends_with(a, '/..') THEN CASE WHEN a = '' THEN '..' ELSE a || '/..' END ELSE regexp_replace(a, '/?[^/]*$', '') END WHEN a = '' THEN x ELSE a || '/' || x END)"
 
 
@@ -205,7 +205,7 @@ UNION ALL SELECT path, 'go', 'go:' || coalesce(nullif(regexp_extract(text, {_re(
 UNION ALL SELECT path, 'js', 'js:' || regexp_replace(path, '\\.[^./]*$', ''), {js} FROM h WHERE regexp_matches(path, '\\.(ts|tsx|js)$')),
 spec AS (SELECT DISTINCT path, kind, node, unnest(specs) AS spec FROM sp),
 bare AS (SELECT DISTINCT spec FROM spec WHERE kind = 'js' AND NOT starts_with(spec, '.')),
-bases AS (SELECT spec, 0 AS rank, replace('src/brand2*', '*', substr(spec, 4)) AS base FROM bare WHERE starts_with(spec, 'pkg')
+bases AS (SELECT spec, 0 AS rank, replace('src/brand12/f*', '*', substr(spec, 4)) AS base FROM bare WHERE starts_with(spec, 'pkg')
     UNION ALL SELECT spec, 1, replace('src/*/none', '*', substr(spec, 6)) FROM bare WHERE starts_with(spec, 'side-') UNION ALL SELECT spec, 2, 'src/' || spec FROM bare),
 tries AS (SELECT spec, rank, 0 AS place, base AS file FROM bases WHERE regexp_matches(base, '\\.[^./]*$') UNION ALL SELECT spec, rank, unnest(range(1, {2 * len(imports.SUFFIXES) + 1})), base || unnest([{suffixes}]) FROM bases),
 hits AS (SELECT spec, arg_min(file, rank * 100 + place) AS file FROM tries WHERE file IN (SELECT path FROM h) GROUP BY spec),

@@ -8,6 +8,7 @@ from .. import corpora
 from ..catalog import query
 from ..functions import hashing, paths
 from ..operators import chat, checks, filters, patches, slices
+from ..sources import bundles
 from ..sources import lines as L
 from .catalog_code import _lang_sql
 
@@ -71,10 +72,14 @@ def lang_tags(spark, d):
     return _files(spark, d).select("path", paths.lang_of(F.col("path")).alias("lang")).where("lang in ('go', 'py')")
 
 
-@query("present_langs", f"SELECT array_to_string(list_sort(list_distinct(list({_lang_sql()}))), ' ') AS langs FROM ({TEXT}) WHERE {_lang_sql()} <> ''")
+@query("present_langs", f"""SELECT source, array_to_string(list_sort(list_distinct(list(tag))), ' ') AS langs FROM (
+    SELECT source, CASE lower(regexp_extract(path, '[.]([^./]*)$', 1)) WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' WHEN 'ts' THEN 'ts' WHEN 'tsx' THEN 'tsx' WHEN 'py' THEN 'py' WHEN 'h' THEN 'cpp' WHEN 'cc' THEN 'cpp' END AS tag
+    FROM (SELECT source, CASE doc_id % 6 WHEN 0 THEN path || 'x' WHEN 1 THEN path || '.TSX' WHEN 2 THEN path || '.h' WHEN 3 THEN path || '.js' ELSE path END AS path FROM ({TEXT}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id))) WHERE tag IS NOT NULL GROUP BY source""")
 def present_langs(spark, d):
-    t = _files(spark, d).select(paths.lang_of(F.col("path")).alias("lang")).where("lang <> ''")
-    return t.agg(F.array_join(F.array_sort(F.collect_set("lang")), " ").alias("langs"))
+    s = corpora.table(spark, d, "documents").select("doc_id", "source")
+    path = F.expr("CASE doc_id % 6 WHEN 0 THEN path || 'x' WHEN 1 THEN path || '.TSX' WHEN 2 THEN path || '.h' WHEN 3 THEN path || '.js' ELSE path END")
+    f = _files(spark, d).join(s, "doc_id").select("source", path.alias("path"))
+    return bundles.languages(f, "source").select("source", F.array_join("langs", " ").alias("langs"))
 
 
 @query(
@@ -181,19 +186,50 @@ def jsonl_slices(spark, d):
     return L.json_lines(slices.slices(f, None, 20), ["path", "slice", "start", "end"])
 
 
-@query("text_functions", """SELECT turn, conv_id, CASE WHEN t <> '' AND NOT ends_with(t, chr(10)) THEN t || chr(10) ELSE t END AS fed, len(CASE WHEN t = '' THEN [] ELSE string_split(t, chr(10)) END)::INT AS pieces
+@query("text_functions", """SELECT turn, conv_id, CASE WHEN t <> '' AND NOT ends_with(t, chr(10)) THEN t || chr(10) ELSE t END AS fed, array_to_string(CASE WHEN t = '' THEN [] ELSE list_transform(string_split(t, chr(10)), lambda x, i: CASE WHEN i = len(string_split(t, chr(10))) THEN x ELSE x || chr(10) END) END, '|') AS pieces
 FROM (SELECT turn, conv_id, regexp_replace(replace(text, ' ', CASE WHEN turn % 2 = 0 THEN chr(13) ELSE chr(13) || chr(10) END), '\\r\\n?', chr(10), 'g') AS t FROM conversations WHERE text IS NOT NULL)""")
 def text_functions(spark, d):
     c = corpora.table(spark, d, "conversations").where("text is not null")
     c = c.withColumn("t", L.one_feed(F.replace("text", F.lit(" "), F.when(F.col("turn") % 2 == 0, F.lit("\r")).otherwise(F.lit("\r\n")))))
-    return c.select("turn", "conv_id", L.fed(F.col("t")).alias("fed"), F.size(L.pieces(F.col("t"))).alias("pieces"))
+    return c.select("turn", "conv_id", L.fed(F.col("t")).alias("fed"), F.array_join(L.pieces(F.col("t")), "|").alias("pieces"))
 
 
-@query("chat_messages", f"""SELECT row_number() OVER (ORDER BY contains(path, '/test/') OR ends_with(path, '_test.go'), path) AS message, path, sha256(('# ' || path || chr(10) || chr(10))::BLOB) AS head FROM ({TEXT})""")
+_HEAD = """'# ' || path || chr(10) || CASE WHEN package <> '' OR class <> '' THEN '- Package: ' || coalesce(nullif(package, ''), '-') || chr(10) || '- Class: ' || coalesce(nullif(class, ''), '-') || chr(10) ELSE '' END
+    || CASE WHEN len(exports) > 0 THEN '- Exports: ' || array_to_string(exports, ', ') || chr(10) ELSE '' END || chr(10) || '```' || CASE WHEN ends_with(path, '.go') THEN 'go' WHEN ends_with(path, '.java') THEN 'java' WHEN ends_with(path, '.ts') THEN 'ts' WHEN ends_with(path, '.py') THEN 'python' ELSE '' END || chr(10)"""
+_FIELDS = "CASE WHEN doc_id % 2 = 0 THEN 'pkg.x' ELSE '' END AS package, CASE WHEN doc_id % 3 = 0 THEN 'T' ELSE '' END AS class"
+
+
+@query(
+    "chat_messages",
+    f"""WITH m AS (SELECT path, text, {_FIELDS}, CASE WHEN doc_id % 5 = 0 THEN ['a', 'b'] WHEN doc_id % 5 = 1 THEN list_transform(range(0, 900), lambda i: 'é') ELSE [] END AS exports FROM ({TEXT})),
+b AS (SELECT *, encode({_HEAD}) AS head, encode({_HEAD} || text) AS whole FROM m)
+SELECT row_number() OVER (ORDER BY len(exports) > 0 DESC, contains(path, '/test/') OR ends_with(path, '_test.go'), path) AS message, path, octet_length(head)::INT AS head,
+    sha256(CASE WHEN octet_length(head) < 2000 THEN array_slice(whole, 1, 2000) || encode(chr(10)) ELSE array_slice(whole, 1, 2000) END) AS body FROM b""",
+)
 def chat_messages(spark, d):
-    empty = F.array().cast("array<string>")
-    m = _files(spark, d).select("path", "text", F.lit("").alias("package"), F.lit("").alias("class"), empty.alias("exports"))
-    none = spark.createDataFrame([], "id string, degree long")
-    body = chat.one_per_message(chat.ranked(m, degree=none), 2000)
-    head = F.concat(F.lit("# "), "path", F.lit("\n\n")).cast("binary")
-    return body.where(F.left("body", F.length(head)) == head).select(F.col("message").cast("long").alias("message"), "path", F.sha2(head, 256).alias("head"))
+    """Headers of all kinds, and some that alone fill the message."""
+    exports = F.expr("CASE WHEN doc_id % 5 = 0 THEN array('a', 'b') WHEN doc_id % 5 = 1 THEN array_repeat('é', 900) ELSE cast(array() AS array<string>) END")
+    m = _files(spark, d).selectExpr("*", *_FIELDS.split(", ")).withColumn("exports", exports).select("path", "text", "package", "class", "exports")
+    ranks = chat.ranked(m, degree=spark.createDataFrame([], "id string, degree long"))
+    head = F.concat(chat.header(F.col("path"), F.col("package"), F.col("class"), F.col("exports")), F.lit("```"), paths.fence_of(F.col("path")), F.lit("\n"))
+    body = chat.one_per_message(ranks, 2000).select("path", F.col("message").cast("long").alias("message"), F.sha2("body", 256).alias("body"))
+    return body.join(ranks.select("path", F.octet_length(head).alias("head")), "path")
+
+
+_SPACE = r"[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_INNER = "regexp_replace(x, '" + _SPACE + "+', ' ', 'g')"
+_STRIP = lambda x: f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+_SPACED = "replace(replace(text, ' t', chr(9) || ' ' || chr(160) || 't'), '. ', chr(10) || '  ' || chr(10) || ' ')"
+
+
+@query("similarity_lines", f"SELECT doc_id, sha256(array_to_string(x, chr(10))) AS lines, len(x)::INT AS n FROM (SELECT doc_id, list_filter(list_transform(string_split({_SPACED}, chr(10)), lambda x: {_STRIP(_INNER)}), lambda x: x <> '') AS x FROM documents WHERE text IS NOT NULL)")
+def similarity_lines(spark, d):
+    x = paths.similarity_lines(F.expr(_SPACED.replace("chr(160)", "'\u00a0'")))
+    t = corpora.table(spark, d, "documents").where("text is not null").select("doc_id", x.alias("x"))
+    return t.select("doc_id", F.sha2(F.array_join("x", "\n"), 256).alias("lines"), F.size("x").alias("n"))
+
+
+@query("csv_lists", f"SELECT doc_id, array_to_string(x, '|') AS items, len(x)::INT AS n FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(text, 'the', ' ,,'), ','), lambda x: {_STRIP('x')}), lambda x: x <> '') AS x FROM documents WHERE text IS NOT NULL)")
+def csv_lists(spark, d):
+    x = paths.csv_items(F.replace("text", F.lit("the"), F.lit(" ,,")))
+    return corpora.table(spark, d, "documents").where("text is not null").select("doc_id", x.alias("x")).select("doc_id", F.array_join("x", "|").alias("items"), F.size("x").alias("n"))

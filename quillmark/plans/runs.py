@@ -194,5 +194,5 @@ def chat_bundle(spark: SparkSession, config: Config, path: str) -> bool:
         bodies = messages.drop("message").join(fit, "path").groupBy("message").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "body"))).alias("x"))
         body = F.concat(F.aggregate(F.transform("x", lambda y: F.concat(y["body"], F.lit(b"```\n"))), F.lit(b""), lambda a, b: F.concat(a, b)))
         messages = bodies.select("message", F.array_join(F.transform("x", lambda y: y["path"]), ", ").alias("path"), body.alias("body"))
-    bundles.write_chat(path, config.module, messages, x.manifest, config.bench_bytes())
+    bundles.write_chat(path, config.module, messages, x.manifest, config.bench_bytes(), x.symbols.count(), chat.limits(config.chat_max_files, config.chat_max_chars))
     return True

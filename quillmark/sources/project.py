@@ -20,10 +20,7 @@ class BuildInfo:
 
 def jdk_number(version: str) -> str:
     v = version.strip()
-    if v.startswith("1."):
-        return v[2:]
-    m = re.match(r"\d+", v)
-    return m[0] if m else v
+    return v[2:] if v.startswith("1.") and len(v) > 2 else re.match("[0-9]*", v)[0]
 
 
 def first_filled(*values: str | None) -> str:

@@ -67,7 +67,7 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 def new_blobs(files: DataFrame, known: DataFrame) -> DataFrame:
     """(hash, content) of contents that are not known yet, each once."""
-    return files.select("hash", "content").where(F.col("hash").rlike("^[0-9a-f]{6,}$")).dropDuplicates(["hash"]).join(known.select("hash"), "hash", "left_anti")
+    return files.select("hash", "content").where(F.col("hash").rlike(BLOB_HASH)).dropDuplicates(["hash"]).join(known.select("hash"), "hash", "left_anti")
 
 
 def save_blobs(path: str, files: DataFrame) -> None:
@@ -79,3 +79,21 @@ def load_blobs(spark: SparkSession, path: str) -> DataFrame:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
     return spark.read.schema("hash string, content binary").parquet(path) if there else spark.createDataFrame([], "hash string, content binary")
+
+
+#: A hash of a blob: lower hex digits, six at least; others are refused.
+BLOB_HASH = "^[0-9a-f]{6,}$"
+
+
+def read_blobs(spark: SparkSession, path: str, wanted: DataFrame, hash_col: str = "hash") -> DataFrame:
+    """``wanted`` with content: that of each row's hash, or null where it is unknown. A malformed hash ends the job."""
+    h = F.col(hash_col)
+    checked = F.when(h.isNull() | h.rlike(BLOB_HASH), h).otherwise(F.raise_error(F.concat(F.lit("not a hash of a blob: "), h)))
+    blobs = load_blobs(spark, path).select(F.col("hash").alias("_blob"), "content")
+    return wanted.join(blobs, checked == F.col("_blob"), "left").drop("_blob")
+
+
+def has_blobs(spark: SparkSession, path: str, wanted: DataFrame, hash_col: str = "hash") -> DataFrame:
+    """``wanted`` with known: whether there is a blob; a malformed hash has none."""
+    blobs = load_blobs(spark, path).select(F.col("hash").alias("_blob")).distinct()
+    return wanted.join(blobs, F.col(hash_col) == F.col("_blob"), "left").withColumn("known", F.col("_blob").isNotNull() & F.col(hash_col).rlike(BLOB_HASH)).drop("_blob")

@@ -1,5 +1,6 @@
 """Small cases of single operators."""
 
+import hashlib
 import json
 import zipfile
 
@@ -12,7 +13,7 @@ from quillmark.functions.matches import line_count, matches
 from quillmark.operators import changes, chat, checks, filters, imports, patches, regions, slices
 from quillmark.operators import symbols as S
 from quillmark.plans import runs
-from quillmark.sources import bundles, lines, project, state, tree
+from quillmark.sources import bundles, lines, project, schemas, state, tree
 
 
 def one(spark, column, **values):
@@ -25,8 +26,11 @@ def col(spark, f, *values):
 
 def test_names_and_paths(spark):
     assert col(spark, paths.slug, "auto:SYM:A.b", "---", "é") == ["auto-SYM-A.b", "anchor", "anchor"]
-    assert col(spark, paths.jdk_number, "1.8", "17.0.1", "1.8.0") == ["8", "17", "8.0"]
-    assert [project.jdk_number(x) for x in ("1.8", "17.0.1", "1.8.0")] == ["8", "17", "8.0"]
+    versions, numbers = ["1.8", "17.0.1", "1.8.0", "abc", "1.", "", " 21-ea"], ["8", "17", "8.0", "", "1", "", "21"]
+    assert col(spark, paths.jdk_number, *versions) == numbers
+    assert [project.jdk_number(x) for x in versions] == numbers
+    assert col(spark, paths.csv_items, " a, b,,\tc ", "", " ", ",") == [["a", "b", "c"], [], [], []]
+    assert col(spark, paths.similarity_lines, "  a \t b\n\n \u00a0\nc\u2003 d", "") == [["a b", "c d"], []]
     assert col(spark, lambda c: paths.relative_spec(F.lit("src/app/a.ts"), c), "./x.service", "../up/q", "../../../z") == ["js:src/app/x", "js:src/up/q", "js:../z"]
     assert col(spark, paths.safe_entry, "/../a", "c:\\a/./b.txt", "..", "x/../y") == ["a", "a/b.txt", "entry", "y"]
     assert [bundles.safe_entry(x) for x in ("/../a", "c:\\a/./b.txt", "..", "x/../y")] == ["a", "a/b.txt", "entry", "y"]
@@ -130,6 +134,67 @@ def test_patches():
     assert patches.keep_feeds("a\nb\n") == ["a\n", "b\n", ""] and patches.keep_feeds("") == []
 
 
+def test_patches_that_show_nothing():
+    o, one = patches.DiffOptions(), patches.DiffOptions(max_bytes=3, no_prefix=False)
+    assert patches.unified("", "", "x", o) == ("--- /dev/null\n+++ x\n@@\n# diff omitted (oversize)\n", False)
+    assert patches.unified("a\n", "a\n", "x", o) == ("--- x\n+++ x\n@@\n# diff omitted (oversize)\n", False)
+    assert patches.unified("ab", "cd", "d/x", one) == ("--- a/d/x\n+++ b/d/x\n@@\n# diff omitted (oversize)\n", True)
+    assert patches.unified(None, "abcd", "x", one) == ("--- /dev/null\n+++ b/x\n@@\n# diff omitted (oversize)\n", True)
+    assert patches.unified(None, "abc", "x", one) == ("--- /dev/null\n+++ x\n@@ -0,0 +1 @@\n+abc", False)
+    lines = "".join(f"{i}\n" for i in range(20))
+    assert patches.unified(lines, lines.replace("9\n", "x\n", 1), "f", patches.DiffOptions(context=0)) == patches.unified(lines, lines.replace("9\n", "x\n", 1), "f", o)
+    assert "@@ -6,9 +6,9 @@" in patches.unified(lines, lines.replace("9\n", "x\n", 1), "f", o)[0]
+
+
+def test_patch_names(spark):
+    rows = [("a/b", "0123456789"), ("a_b", "0123456789"), ("a:b", "0123456789"), ("a?b", ""), ("..", None)]
+    got = dict(map(tuple, patches.patch_names(spark.createDataFrame(rows, "path string, hash string")).collect()))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()[:8]
+    assert got == {"a/b": "a_b.patch", "a:b": "a_b-01234567.patch", "a?b": f"a_b-{sha('a?b')}.patch", "a_b": f"a_b-01234567-{sha('a_b01234567')}.patch", "..": "patch.patch"}
+
+
+def test_chat_bodies(spark):
+    rows = [(1, "a.go", "p", "", ["x", "y"], "text é"), (2, "b.md", "", "", [], "")]
+    m = spark.createDataFrame(rows, "rank int, path string, package string, class string, exports array<string>, text string")
+    head = b"# a.go\n- Package: p\n- Class: -\n- Exports: x, y\n\n```go\n"
+    bodies = lambda n: [bytes(r["body"]) for r in chat.one_per_message(m, n).orderBy("message").collect()]
+    assert bodies(1000) == [head + "text é\n".encode(), b"# b.md\n\n```markdown\n\n"]
+    assert bodies(len(head) + 6)[0] == head + b"text \xc3\n"  # cut in bytes, then a line feed
+    assert bodies(len(head) + 1)[0] == head + b"t\n"
+    assert bodies(len(head))[0] == head and bodies(10)[0] == head[:10]
+
+
+def test_bundle_texts(spark):
+    index = {"changed": [{"path": "a", "diff": "diffs/a.patch", "oversize": True}], "added": [{"path": "n"}], "removed": [], "renamed": [{"from": "x", "to": "y"}]}
+    assert bundles.summary(index) == "# SUMMARY\n\nChanged (1):\n- a -> diffs/a.patch\n\nAdded (1):\n- n -> added/n\n\nRemoved (0):\n\nRenamed (1):\n- x -> y\n\nOversize diffs (1)\n"
+    text = bundles.readme(" m ", "delta", bundles.DELTA_LAYOUT, ["ts", " go ", ""], patches.DiffOptions(context=0, no_prefix=False), True)
+    assert text.startswith("# m\n") and "bundle: go, ts." in text and "with 4 lines" in text and "the prefixes" in text and "bench.txt" in text and "\r" not in text
+    p = spark.createDataFrame([("--- a/x.ts\n+++ b/x.ts\n@@",), ("--- /dev/null\n+++ y.h\n",), ("+++ <new>\n",), ("none",)], "patch string")
+    assert bundles.present_languages(bundles.patched_paths(p)) == ["cpp", "ts"]
+    assert bundles.present_languages(p.select(F.lit("a.js").alias("path"))) == []
+
+
+def test_schemas(spark):
+    m, s = schemas.document("manifest"), schemas.document("symbols")
+    assert m["title"] == "Manifest" and m["required"] == ["module", "files"] and m["properties"]["jdk"] == {"type": "string"}
+    anchor = m["properties"]["files"]["items"]["properties"]["anchors"]["items"]
+    assert anchor == {"type": "object", "required": ["name", "start", "end"], "properties": {"name": {"type": "string"}, "start": {"type": "integer"}, "end": {"type": "integer"}}}
+    assert s["properties"]["symbols"]["items"]["required"] == ["symbol", "kind", "path", "start", "end"]
+    assert schemas.faults({"module": "", "files": [{"path": "a", "lines": 1}]}, m) == []
+    assert schemas.faults({"files": [{"path": 1}, {}], "jdk": True}, m) == ["$: has no module", "$.jdk: is no string", "$.files[0].path: is no string", "$.files[1]: has no path"]
+
+
+def test_blobs_by_hash(spark, tmp_path):
+    where = str(tmp_path / "blobs")
+    state.save_blobs(where, spark.createDataFrame([("abcdef01", b"x"), ("nohash", b"y")], "hash string, content binary"))
+    asked = spark.createDataFrame([("abcdef01",), ("abcdef02",), (None,)], "hash string")
+    assert {r.hash: r.content for r in state.read_blobs(spark, where, asked).collect()} == {"abcdef01": b"x", "abcdef02": None, None: None}
+    bad = spark.createDataFrame([("ABC",)], "hash string")
+    assert [r.known for r in state.has_blobs(spark, where, asked.unionByName(bad)).orderBy("hash").collect()] == [False, False, True, False]
+    with pytest.raises(Exception, match="not a hash"):
+        state.read_blobs(spark, where, bad).collect()
+
+
 def test_filters(spark):
     ok = lambda f, *v: col(spark, f, *v)
     assert ok(filters.is_excluded, "build.gradle", "a/output.go", ".github/x.md", "src/a.go") == [True, True, True, False]
@@ -203,7 +268,8 @@ def test_three_runs(spark, project_tree, tmp_path):
         assert "-export function f() {}" in z.read("delta.patch").decode() and "added/src/new.go" in z.namelist()
     assert runs.chat_bundle(spark, c, out[4])
     with zipfile.ZipFile(out[4]) as z:
-        assert "chat/0001.md" in z.namelist() and z.read("README.md").endswith(b"\n")
+        assert "chat/0001.md" in z.namelist() and z.read("README.md").startswith(b"# Chat Bundle\n\n- Module: ")
+        assert z.read("TOC.md").decode().startswith("# CHAT TOC\n\n| Message | Files |\n|:--------|:------|\n| chat/0001.md | ")
     assert state.load_snapshot(spark, c.folder)[0].count() == 5
 
 
