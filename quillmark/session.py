@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared ``spark.checkpoint.dir``; a local one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
+    """A new folder below the cluster's shared ``spark.checkpoint.dir``; a local one where that is unset and all tasks run in this process."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = LOCAL_SCRATCH
     return f"{root.rstrip('/')}/quillmark-{uuid.uuid4().hex}"
 
 
@@ -47,15 +52,26 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmark_path = path
     return out
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has what is at ``path`` deleted when the driver ends; until then results may be read from it."""
+    system, target = _folder(spark, path)
+    system.deleteOnExit(target)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``; later reads of it fail."""
     path = getattr(df, "_quillmark_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        system, target = _folder(df.sparkSession, path)
+        system.delete(target, True)
