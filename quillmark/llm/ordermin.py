@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .bytetools import U64, mix, runs, word_hashes
 from .common import fresh
 from .components import components
@@ -222,6 +222,8 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     second = materialize(more_links)
     if not second.isEmpty():
         comp = components(first.unionByName(second))
+    for done in (firsts, members, texts, first, m, second):
+        discard(done)
     classes = rep_of.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     return s.select("id", "n").join(classes, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.col("n").alias("n_kmers"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch, table
+from ..session import scratch, table, until_exit
 from . import decontaminate, licenses, ordermin, packing, preferences, suffixes, tokenfile, toxicity, urls, vectors
 
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,6 +26,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    until_exit(spark, path)
     return tokenfile.read_tokens(spark, path)
 
 
