@@ -30,7 +30,7 @@ K = 5
 SIMILARITY = 0.8
 SKETCHES, TUPLE = 24, 3
 #: Buckets of up to FEW members give pairs; larger ones are cut into blocks of about BLOCK_KMERS k-mers and BLOCK_TEXTS texts.
-FEW, BLOCK_KMERS, BLOCK_TEXTS = 8, 400_000, 1024
+FEW, BLOCK_KMERS, BLOCK_TEXTS = 8, 400_000, 512
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, SKETCHES, dtype=U64)
 _ORDER = np.random.default_rng(78).integers(1, 2**63, TUPLE, dtype=U64) | U64(1)
 _PLACE = np.random.default_rng(79).integers(1, 2**63, K, dtype=U64) | U64(1)
