@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +57,17 @@ def hamming(a: Column, b: Column) -> Column:
 def bundle_id(manifest: DataFrame, path_col: str = "path", hash_col: str = "hash") -> DataFrame:
     """One row, bundle_id: sha256 of the sorted lines ``path:hash``, each with its line feed.
 
-    The lines of a bundle meet in one row, as the hash is over all of them; a bundle is bounded by its byte budget.
+    The hash is of all lines in order, so it is fed by a stream of sorted stretches; neither a task nor the driver holds more than one.
     """
     from .paths import normal_path
 
     line = F.concat(normal_path(F.col(path_col)), F.lit(":"), F.translate(F.col(hash_col), "ABCDEF", "abcdef"), F.lit("\n"))
-    return manifest.select(line.alias("line")).agg(F.array_join(F.array_sort(F.collect_list("line")), "").alias("all")).select(F.sha2("all", 256).alias("bundle_id"))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(x for x in batch.column(0).to_pylist() if x is not None)])], names=["lines"])
+
+    total = hashlib.sha256()
+    for r in manifest.select(line.alias("line")).orderBy("line").mapInArrow(stretches, "lines string").toLocalIterator():
+        total.update(r["lines"].encode())
+    return manifest.sparkSession.createDataFrame([(total.hexdigest(),)], "bundle_id string")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .ranks import numbered
 
 MAX_FILES, MAX_CHARS = 10, 80_000
 
@@ -14,7 +15,7 @@ MAX_FILES, MAX_CHARS = 10, 80_000
 def ranked(manifest: DataFrame, edges: DataFrame | None = None, degree: DataFrame | None = None) -> DataFrame:
     """``manifest`` (path, exports, ...) with degree and rank: most edges first, then files with exports, then no tests, then by path.
 
-    A script's node is its path without extension; other files have degree 0. Ranks are of one bundle, so one total order.
+    A script's node is its path without extension; other files have degree 0.
     """
     from .imports import degrees
 
@@ -23,7 +24,7 @@ def ranked(manifest: DataFrame, edges: DataFrame | None = None, degree: DataFram
     m = manifest.withColumn("_id", F.when(paths.lang_of(F.col("path")) == "ts", node))
     m = m.join(d.withColumnRenamed("id", "_id"), "_id", "left").drop("_id").withColumn("degree", F.coalesce("degree", F.lit(0)))
     order = [F.desc("degree"), (F.size("exports") > 0).desc(), paths.is_test_path(F.col("path")), F.col("path")]
-    return m.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return numbered(m, order, "rank")
 
 
 def header(path: Column, package: Column, typ: Column, exports: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .ranks import numbered_within
 
 MAX_LINES = 500
 
@@ -43,11 +44,11 @@ def region_pointers(regions: DataFrame) -> DataFrame:
 def symbol_pointers(symbols: DataFrame) -> DataFrame:
     """(id, path, sym, start, end): the symbol with dashes, the k-th of a bundle with -k; exact duplicates once.
 
-    The window is keyed by the id's base: names as common as ``main`` meet in one task, as their numbers depend on each other.
+    Numbers come from one sort, so names as common as ``main`` are spread.
     """
     base = F.replace("symbol", F.lit("."), F.lit("-"))
     s = symbols.select("symbol", "path", "start", "end", base.alias("base"))
-    s = s.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("symbol", "path", "start", "end")))
+    s = numbered_within(s, "base", [F.col(c) for c in ("symbol", "path", "start", "end")])
     tail = F.when(F.col("k") > 1, F.concat(F.lit("-"), "k")).otherwise("")
     return s.select(F.concat("base", tail).alias("id"), "path", F.col("symbol").alias("sym"), "start", "end").distinct()
 

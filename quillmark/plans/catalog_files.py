@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import corpora
 from ..catalog import query
 from ..functions import hashing, paths
-from ..operators import chat, checks, filters, patches, slices
+from ..operators import chat, checks, filters, patches, ranks, slices
 from ..sources import bundles
 from ..sources import lines as L
 from .catalog_code import _lang_sql
@@ -94,9 +94,7 @@ def budget_pick(spark, d):
 
 @query("walk_order", f"SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS k FROM ({TEXT})")
 def walk_order(spark, d):
-    from pyspark.sql import Window
-
-    return _files(spark, d).select("path", F.row_number().over(Window.orderBy(filters.walk_order(F.col("path")))).alias("k"))
+    return ranks.numbered(_files(spark, d).select("path"), [filters.walk_order(F.col("path"))])
 
 
 @query("slices_chunked", f"SELECT path, 'chunk_' || start AS slice, start, least(start + 19, lines)::INT AS \"end\" FROM (SELECT path, lines, unnest(range(1, lines + 1, 20))::INT AS start FROM ({TEXT}) WHERE lines > 20)")
@@ -165,9 +163,7 @@ def symbol_violations(spark, d):
 
 @query("order_violations", f"WITH o AS (SELECT doc_id, path, lag(path) OVER (ORDER BY doc_id) AS before FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, path FROM ({TEXT}))) SELECT doc_id, path FROM o WHERE path < before")
 def order_violations(spark, d):
-    from pyspark.sql import Window
-
-    rows = _files(spark, d).select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("doc_id"), "path")
+    rows = ranks.numbered(_files(spark, d).select("doc_id", "path"), [F.col("doc_id")]).select((F.col("k") - 1).alias("doc_id"), "path")
     return checks.out_of_order(rows, "doc_id", "path")
 
 
@@ -210,10 +206,10 @@ def chat_messages(spark, d):
     """Headers of all kinds, and some that alone fill the message."""
     exports = F.expr("CASE WHEN doc_id % 5 = 0 THEN array('a', 'b') WHEN doc_id % 5 = 1 THEN array_repeat('é', 900) ELSE cast(array() AS array<string>) END")
     m = _files(spark, d).selectExpr("*", *_FIELDS.split(", ")).withColumn("exports", exports).select("path", "text", "package", "class", "exports")
-    ranks = chat.ranked(m, degree=spark.createDataFrame([], "id string, degree long"))
+    files = chat.ranked(m, degree=spark.createDataFrame([], "id string, degree long"))
     head = F.concat(chat.header(F.col("path"), F.col("package"), F.col("class"), F.col("exports")), F.lit("```"), paths.fence_of(F.col("path")), F.lit("\n"))
-    body = chat.one_per_message(ranks, 2000).select("path", F.col("message").cast("long").alias("message"), F.sha2("body", 256).alias("body"))
-    return body.join(ranks.select("path", F.octet_length(head).alias("head")), "path")
+    body = chat.one_per_message(files, 2000).select("path", F.col("message").cast("long").alias("message"), F.sha2("body", 256).alias("body"))
+    return body.join(files.select("path", F.octet_length(head).alias("head")), "path")
 
 
 _SPACE = r"[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered
+
 _ESCAPES = {"&": "\\u0026", "<": "\\u003c", ">": "\\u003e", "\u2028": "\\u2028", "\u2029": "\\u2029"}
 
 
@@ -22,8 +24,8 @@ def json_lines(rows: DataFrame, columns: list[str], optional: tuple[str, ...] =
 
 
 def toc_rows(files: DataFrame) -> DataFrame:
-    """(k, row) in the order of paths; the numbers are those of one bundle."""
-    t = files.select("path", "lines", F.row_number().over(Window.orderBy("path")).alias("k"))
+    """(k, row) in the order of paths."""
+    t = numbered(files.select("path", "lines"), [F.col("path")])
     return t.select("k", F.concat(F.lit("| "), "k", F.lit(" | "), "path", F.lit(" | "), "lines", F.lit(" |")).alias("row"))
 
 
