@@ -26,7 +26,7 @@ CONTEXTS, CONFIDENCES = 4096, 16
 #: The cell of two ranks is (last * PAIR + the one before) modulo CONTEXTS.
 PAIR = 1031
 #: Steps after which shares and weights are renewed.
-STRETCHES = (0, 128, 384, 896, 1920, BLOCK_IDS)
+STRETCHES = (0, 256, 1024, BLOCK_IDS)
 _PRIOR = np.array([0.02, *(k / (k + 1.5) for k in range(1, CONFIDENCES))])
 #: What ``said`` (see ``_Model.learn``) makes of the confidences of orders 1 and 2.
 _SAID = np.arange(1024)
@@ -308,7 +308,7 @@ def _decode(blocks: list[tuple[int, np.ndarray, np.ndarray, int]]) -> list[np.nd
         words[j, : len(b[2])] = b[2]
     flat, by_word = words.reshape(-1), np.arange(live) * words.shape[1]
     x, rng, used = words[:, 0].astype(U64) << WORD | words[:, 1], np.full(live, 2**64 - 1, U64), np.full(live, 2)
-    ranks = np.zeros((steps, live), np.int32)
+    ranks = np.zeros((steps, live), np.uint16)
     active = (lengths[None, :] > np.arange(steps)[:, None]).sum(axis=1)
     for a, b, valid, n in _stretches(lengths):
         said = np.zeros((b - a, n), np.uint16)
@@ -329,4 +329,4 @@ def _decode(blocks: list[tuple[int, np.ndarray, np.ndarray, int]]) -> list[np.nd
             rng[i] <<= WORD
         if b < steps:
             m.seen(ranks[a:b, :n], said, valid)
-    return [b[1][ranks[: b[0], j]] for j, b in enumerate(blocks)]
+    return [b[1].take(r[: b[0]]) for b, r in zip(blocks, np.ascontiguousarray(ranks.T), strict=True)]
