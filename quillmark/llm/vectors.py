@@ -25,7 +25,7 @@ BLOCK = 2048
 MAX_CENTRES, MAX_NUMBERS = 4096, 4 << 20
 #: Vectors of the sample for each centre that is wanted.
 SAMPLE = 4
-#: Pairs of near cells that are listed; where there were more, hardly any is pruned, and fewer centres serve as well.
+#: Pairs of near cells that are listed; a label with more is dealt without cells.
 MAX_PAIRS = 1 << 20
 SLACK = 1e-9
 
@@ -226,17 +226,18 @@ def _dealt(reps: DataFrame, threshold: float, block: int) -> DataFrame:
         by_label: dict[tuple[str, int], list] = {}
         for r in sorted(stats, key=lambda r: r["cell"]):
             by_label.setdefault((r["label"], r["dim"]), []).append(r)
-        listed, coarser = [], dict(tops)
+        listed, kept = [], {}
         for key, rs in by_label.items():
-            own = np.array([r["cell"] for r in rs])
+            own, n = np.array([r["cell"] for r in rs]), np.array([r["n"] for r in rs])
             i, j = near_cells(tops[key][own], np.array([r["radius"] for r in rs]), threshold)
-            parts = [-(-r["n"] // block) for r in rs]
-            if len(i) > MAX_PAIRS // len(by_label) and len(own) > 64:
-                coarser[key] = tops[key][: len(tops[key]) // 2]
-            listed += [(*key, int(own[x]), parts[x], int(own[y]), parts[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)] if coarser[key] is tops[key] else []
-        if all(coarser[k] is tops[k] for k in tops):
+            parts = -(-n // block)
+            # where hardly any pair is pruned, cells would only make more tasks; then any parts of a label do, all with all
+            if len(i) <= MAX_PAIRS // len(by_label) and (n[i] * parts[j]).sum() < n.sum() * -(-n.sum() // block):
+                kept[key] = tops[key]
+                listed += [(*key, *x) for x in zip(own[i].tolist(), parts[i].tolist(), own[j].tolist(), parts[j].tolist(), strict=True)]
+        if len(kept) == len(tops):
             break
-        tops = coarser
+        tops = kept
         discard(cells)
     schema = "label string, dim int, cell int, parts int, other int, other_parts int"
     parts = F.ceil(F.col("n") / block).cast("int")
