@@ -49,5 +49,5 @@ def test_entry_imports_without_llm():
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['corpus_pipeline'] = None; import builtins; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries())"
+    code = "import sys; sys.modules['corpus_pipeline'] = sys.modules['quillmark.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
