@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: FNV-1a over 64 bits, but with this start value.
 FNV_START, FNV_PRIME = 1469598103934665603, 1099511628211
-_M32 = 0xFFFFFFFF
+_M32, _M64 = 0xFFFFFFFF, (1 << 64) - 1
+#: Tokens of texts of more characters are not listed but counted one by one.
+_LONG = 1 << 22
 
 
 def fnv64(token: Column) -> Column:
@@ -31,19 +37,46 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, "[^A-Za-z0-9]+", -1), lambda x: x != "")
 
 
+class _Hashes(dict):
+    """Hashes of tokens seen so far; beyond ``MOST`` it starts anew."""
+
+    MOST = 1 << 19
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = FNV_START
+        for b in token.encode():
+            h = (h ^ b) * FNV_PRIME & _M64
+        self[token] = h
+        return h
+
+
+def _votes(counts: dict[str, int], known: _Hashes) -> int:
+    """The lanes of one text as a signed 64-bit number."""
+    if not counts:
+        return -1
+    n = np.fromiter(counts.values(), np.float64, len(counts))
+    h = np.fromiter((known[t] for t in counts), np.uint64, len(counts))
+    ones = n @ np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64)
+    return int(np.packbits(2 * ones >= n.sum()).view(">i8")[0])
+
+
 def simhash(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, simhash): 64-bit pattern as a long. A lane is 1 if its votes are 0 or more, so texts without tokens have all ones.
 
-    Each distinct token of the corpus is hashed once; votes are counted before the shuffle.
+    A row's votes are counted where the row is: nothing is shuffled, and a task keeps the hashes of tokens it has seen.
     """
-    t = rows.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
-    known = t.select("token").distinct().withColumn("h", fnv64(F.col("token")))
-    votes = t.join(known, "token")
-    lane = lambda half, i: F.sum(F.when(F.shiftright(F.col(f"h.{half}"), i).bitwiseAND(1) == 1, F.col("n")).otherwise(-F.col("n"))) >= 0
-    halves = [sum((F.when(lane(half, i), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(1, 32)), F.when(lane(half, 0), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))) for half in ("h", "l")]
-    sums = votes.groupBy("id").agg(halves[0].cast("long").alias("hi"), halves[1].cast("long").alias("lo"))
-    both = sums.select("id", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("simhash"))
-    return rows.select(F.col(id_col).alias("id")).join(both, "id", "left").select("id", F.coalesce("simhash", F.lit(-1).cast("long")).alias("simhash"))
+    word = re.compile("[A-Za-z0-9]+")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            out = [_votes(Counter(m.group() for m in word.finditer(t)) if len(t) > _LONG else Counter(word.findall(t)), known) for t in (x.as_py() or "" for x in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["id", "simhash"])
+
+    some = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return some.mapInArrow(hashed, StructType([some.schema["id"], StructField("simhash", LongType())]))
 
 
 def hex16(x: Column) -> Column:

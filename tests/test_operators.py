@@ -55,6 +55,13 @@ def test_simhash(spark):
     assert got[1] % 2**64 == want and got[2] == got[3] == -1
 
 
+def test_simhash_stays_in_its_row(spark):
+    d = spark.createDataFrame([(1, "a b a"), (2, None), (3, "--")], "id long, t string")
+    out = hashing.simhash(d, "id", "t")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in out.where("simhash = -1").collect()} == {2, 3}
+
+
 def test_matches_report_lines_from_leading_blanks(spark):
     t = "x\n\n\nfunc A() {\n}\nfunc B() {}\n"
     m = one(spark, matches(F.col("t"), S.RULES["go"][0].java, 2), t=t)
