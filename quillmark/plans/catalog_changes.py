@@ -8,6 +8,7 @@ from .. import corpora
 from ..catalog import query
 from ..functions import hashing
 from ..operators import changes, patches
+from ..session import materialize
 
 PREV, CURR = corpora.duck("prev"), corpora.duck("curr")
 BASE = f"""prev AS ({PREV}), curr AS ({CURR}),
@@ -87,17 +88,18 @@ PAIRS = f"""WITH {BASE}, {CANDIDATES}, {simhash_sql("SELECT 'a' || path AS key,
 pairs AS (SELECT from_path, to_path, (bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)))::INT AS distance FROM cand JOIN sim x ON x.key = 'a' || from_path JOIN sim y ON y.key = 'b' || to_path WHERE bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= {changes.RENAME_DISTANCE})"""
 
 
-def _pairs(spark, d):
+def _hashed_sides(spark, d):
+    """Removed and added files, and the SimHashes of their texts."""
     prev, curr = _both(spark, d)
-    removed, added = _sides(spark, d)
+    removed, added = map(materialize, _sides(spark, d))
     old = hashing.simhash(prev.join(removed.select("path"), "path", "left_semi"), "path", "text").withColumnRenamed("id", "path")
     new = hashing.simhash(curr.join(added.select("path"), "path", "left_semi"), "path", "text").withColumnRenamed("id", "path")
-    return changes.similar_pairs(removed, added, old, new)
+    return removed, added, old, new
 
 
 @query("simhash_rename_pairs", PAIRS + " SELECT * FROM pairs")
 def simhash_rename_pairs(spark, d):
-    return _pairs(spark, d)
+    return changes.similar_pairs(*_hashed_sides(spark, d))
 
 
 @query(
@@ -111,7 +113,7 @@ g(k, froms, tos, taken) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], fals
 SELECT from_path, to_path, distance FROM o JOIN g USING (k) WHERE taken""",
 )
 def simhash_greedy_renames(spark, d):
-    return changes.greedy_renames(_pairs(spark, d))
+    return changes.greedy_renames(changes.similar_pairs(*_hashed_sides(spark, d)))
 
 
 @query("changed_unified_patches")

@@ -132,6 +132,28 @@ def test_greedy_rounds_equal_the_sequence(spark):
     assert sorted(map(tuple, got[["from_path", "to_path"]].values)) == sorted(map(tuple, want[["from_path", "to_path"]].values))
 
 
+def _random_sides(spark, n):
+    import random
+
+    r = random.Random(9)
+    near = [r.getrandbits(64) for _ in range(5)]
+    rows = [[(f"{side}{i:03}", f"h{r.randint(0, 30)}", r.choice([0, 1, 2, 3, 9, 40])) for i in range(n)] for side in "ft"]
+    bits = [[(x[0], (r.choice(near) ^ (1 << r.randint(0, 63)) ^ (1 << r.randint(0, 63))) - (1 << 63)) for x in side] for side in rows]
+    frames = [spark.createDataFrame(x, "path string, hash string, lines int") for x in rows] + [spark.createDataFrame(x, "path string, simhash long") for x in bits]
+    alike = lambda a, b: a[1] != b[1] and (a[2] == 0 or b[2] == 0 or max(a[2], b[2]) <= 2 * min(a[2], b[2]))
+    known = dict(bits[0] + bits[1])
+    distance = lambda a, b: ((known[a[0]] ^ known[b[0]]) & (1 << 64) - 1).bit_count()
+    return frames, [(a, b, distance(a, b)) for a in rows[0] for b in rows[1] if alike(a, b)]
+
+
+def test_similar_pairs_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(changes, "BLOCK", 30)
+    frames, want = _random_sides(spark, 100)
+    got = changes.similar_pairs(*frames)
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()  # each pair is found once
+    assert sorted(map(tuple, got.collect())) == sorted((a[0], b[0], d) for a, b, d in want if d <= 8)
+
+
 def test_patches():
     o = patches.DiffOptions()
     text, big = patches.unified("a\nb\n", "a\nc\n", "x", o)
