@@ -162,7 +162,7 @@ def delta(spark: SparkSession, config: Config, path: str) -> dict | None:
         before = tree.with_content(removed.withColumn("abs_path", F.concat(F.lit(config.rename_old_root.rstrip("/") + "/"), "path")))
         gone = hashing.simhash(before.select("path", "text"), "path", "text").withColumnRenamed("id", "path")
         came = hashing.simhash(x.files.join(added.select("path"), "path", "left_semi"), "path", "text").withColumnRenamed("id", "path")
-        near = changes.greedy_renames(changes.similar_pairs(removed, added, gone, came, config.rename_distance))
+        near = changes.greedy_similar(removed, added, gone, came, config.rename_distance)
         near = near.join(added.select(F.col("path").alias("to_path"), "hash"), "to_path").select("from_path", "to_path", "hash")
         renames = renames.unionByName(near)
         removed, added = changes.without_renamed(removed, added, renames)

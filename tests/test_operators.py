@@ -154,6 +154,12 @@ def test_similar_pairs_by_cells(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted((a[0], b[0], d) for a, b, d in want if d <= 8)
 
 
+def test_greedy_without_a_table_of_pairs(spark):
+    frames, want = _random_sides(spark, 100)
+    pairs = changes.greedy_in_order(pd.DataFrame([(a[0], b[0], d) for a, b, d in want if d <= 8], columns=["from_path", "to_path", "distance"]))
+    assert sorted(map(tuple, changes.greedy_similar(*frames).collect())) == sorted(map(tuple, pairs.values))
+
+
 def test_patches():
     o = patches.DiffOptions()
     text, big = patches.unified("a\nb\n", "a\nc\n", "x", o)
