@@ -146,6 +146,14 @@ def _random_sides(spark, n):
     return frames, [(a, b, distance(a, b)) for a in rows[0] for b in rows[1] if alike(a, b)]
 
 
+def test_rename_candidates_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(changes, "BLOCK", 30)
+    frames, want = _random_sides(spark, 100)
+    got = changes.rename_candidates(*frames[:2])
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # no key, so no task that has most of the pairs
+    assert sorted(map(tuple, got.collect())) == sorted((a[0], b[0], a[1], b[1], a[2], b[2]) for a, b, _ in want)
+
+
 def test_similar_pairs_by_cells(spark, monkeypatch):
     monkeypatch.setattr(changes, "BLOCK", 30)
     frames, want = _random_sides(spark, 100)
