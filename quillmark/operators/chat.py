@@ -20,13 +20,19 @@ def ranked(manifest: DataFrame, edges: DataFrame | None = None, degree: DataFram
     from .imports import degrees
 
     d = degree if degree is not None else degrees(edges)
-    node = F.concat(F.lit("js:"), paths.without_extension(F.col("path")))
-    m = manifest.withColumn("_id", F.when(paths.lang_of(F.col("path")) == "ts", node))
-    m = m.join(d.withColumnRenamed("id", "_id"), "_id", "left").drop("_id").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    m = with_degree(manifest, d)
     order = [F.desc("degree"), (F.size("exports") > 0).desc(), paths.is_test_path(F.col("path")), F.col("path")]
     return numbered(m, order, "rank")
 
 
+def with_degree(manifest: DataFrame, degree: DataFrame) -> DataFrame:
+    """Files that are no scripts have keys of their own, which no node has: without a key they would all go to one task."""
+    node = F.concat(F.lit("js:"), paths.without_extension(F.col("path")))
+    m = manifest.withColumn("_id", F.when(paths.lang_of(F.col("path")) == "ts", node).otherwise(F.concat(F.lit("file:"), F.col("path"))))
+    nodes = degree.where(F.startswith(F.col("id"), F.lit("js:"))).withColumnRenamed("id", "_id")
+    return m.join(nodes, "_id", "left").drop("_id").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
 def header(path: Column, package: Column, typ: Column, exports: Column) -> Column:
     dash = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("-"))
     owner = F.when((package != "") | (typ != ""), F.concat(F.lit("- Package: "), dash(package), F.lit("\n- Class: "), dash(typ), F.lit("\n"))).otherwise("")
@@ -38,13 +44,21 @@ def limits(max_files: int, max_chars: int) -> tuple[int, int]:
     return max_files if max_files > 0 else MAX_FILES, max_chars if max_chars > 0 else MAX_CHARS
 
 
-def one_per_message(ranks: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(message, path, body): as the counter runs full after each file, a message is one file. Header, fence and text are cut to the budget, in bytes;
-    a line feed follows unless header and fence alone fill it."""
+def head_and_fence() -> Column:
+    return F.concat(header(F.col("path"), F.col("package"), F.col("class"), F.col("exports")), F.lit("```"), paths.fence_of(F.col("path")), F.lit("\n"))
+
+
+def body(max_chars: int = MAX_CHARS) -> Column:
+    """Header, fence and text, cut to the budget, in bytes; a line feed follows unless header and fence alone fill it."""
     _, budget = limits(0, max_chars)
-    head = F.concat(header(F.col("path"), F.col("package"), F.col("class"), F.col("exports")), F.lit("```"), paths.fence_of(F.col("path")), F.lit("\n"))
+    head = head_and_fence()
     cut = F.substring(F.concat(head, F.col("text")).cast("binary"), 1, budget)
-    return ranks.select(F.col("rank").alias("message"), "path", F.when(F.octet_length(head) < budget, F.concat(cut, F.lit(b"\n"))).otherwise(cut).alias("body"))
+    return F.when(F.octet_length(head) < budget, F.concat(cut, F.lit(b"\n"))).otherwise(cut)
+
+
+def one_per_message(ranks: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(message, path, body): as the counter runs full after each file, a message is one file."""
+    return ranks.select(F.col("rank").alias("message"), "path", body(max_chars).alias("body"))
 
 
 def next_fit(items: DataFrame, max_files: int = MAX_FILES, max_chars: int = MAX_CHARS) -> DataFrame:

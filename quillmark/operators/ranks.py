@@ -20,7 +20,7 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "k") -> DataFrame
     part = F.shiftright("_at", 33)
     counts = s.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    out = s.withColumn("_part", part).join(before, "_part")
+    out = s.withColumn("_part", part).join(F.broadcast(before), "_part")  # by a shuffle, whole ranges would fall together
     return out.withColumn(name, F.col("_at").bitwiseAND(_PLACE) + F.col("_before") + 1).drop("_part", "_at", "_before")
 
 

@@ -207,9 +207,7 @@ def chat_messages(spark, d):
     exports = F.expr("CASE WHEN doc_id % 5 = 0 THEN array('a', 'b') WHEN doc_id % 5 = 1 THEN array_repeat('é', 900) ELSE cast(array() AS array<string>) END")
     m = _files(spark, d).selectExpr("*", *_FIELDS.split(", ")).withColumn("exports", exports).select("path", "text", "package", "class", "exports")
     files = chat.ranked(m, degree=spark.createDataFrame([], "id string, degree long"))
-    head = F.concat(chat.header(F.col("path"), F.col("package"), F.col("class"), F.col("exports")), F.lit("```"), paths.fence_of(F.col("path")), F.lit("\n"))
-    body = chat.one_per_message(files, 2000).select("path", F.col("message").cast("long").alias("message"), F.sha2("body", 256).alias("body"))
-    return body.join(files.select("path", F.octet_length(head).alias("head")), "path")
+    return files.select("path", F.col("rank").cast("long").alias("message"), F.octet_length(chat.head_and_fence()).alias("head"), F.sha2(chat.body(2000), 256).alias("body"))
 
 
 _SPACE = r"[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

@@ -93,6 +93,32 @@ def test_no_test_regions_by_default(spark):
     assert regions.auto_regions(d).count() == 0
 
 
+def _plan(d):
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+CODE = [
+    ("a.ts", "export class A {\n}\nexport const o = {\n  get() ,\n  set (x)\n}\nexport { q as r, w } from './b'\nexport let v = 1;\nexport const f = (x) => x\n"),
+    ("b.cpp", "namespace x {\nclass T\n{\n  virtual int d(int x);\n  int T::g() { return 1; }\n"),
+    ("c_test.go", "package a\n// region R\nfunc TestX(t *T) {\n}\n// endregion R\nfunc (s *S) M(x int) {\n}\n"),
+    ("d.txt", "plain"),
+]
+
+
+def test_files_without_a_node_are_dealt_out(spark):
+    m = spark.createDataFrame([(f"f{i}.go",) for i in range(400)] + [("a.ts",)], "path string")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        j = chat.with_degree(m, spark.createDataFrame([("js:a", 7)], "id string, degree long"))
+        sizes = [r["count"] for r in j.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 200 and j.where("path = 'a.ts'").first()["degree"] == 7
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_slices(spark):
     f = spark.createDataFrame([("a", 45), ("b", 20), ("c", 9)], "path string, lines int")
     got = sorted(tuple(r) for r in slices.slices(f, None, 20).collect())
