@@ -111,6 +111,12 @@ def test_symbols_of_scripts_in_one_reading(spark):
     assert sorted((r.symbol, r.start, r.end, r.seq) for r in got.collect()) == [("A.f", 9, 10, 1), ("o.get", 4, 4, 2), ("o.set", 5, 8, 3)]
 
 
+def test_symbols_of_cpp_in_one_reading(spark):
+    got = S.symbols(spark.createDataFrame(CODE, "path string, text string"), ("cpp",))
+    assert "Exchange" not in _plan(got) and _plan(got).count("Scan ExistingRDD") == 1
+    assert {("x.T", "class", 2), ("x.T.d", "method", 4), ("x.T.g", "method", 5)} <= {(r.symbol, r.kind, r.start) for r in got.collect()}
+
+
 def test_files_without_a_node_are_dealt_out(spark):
     m = spark.createDataFrame([(f"f{i}.go",) for i in range(400)] + [("a.ts",)], "path string")
     keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
