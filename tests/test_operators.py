@@ -117,6 +117,13 @@ def test_symbols_of_cpp_in_one_reading(spark):
     assert {("x.T", "class", 2), ("x.T.d", "method", 4), ("x.T.g", "method", 5)} <= {(r.symbol, r.kind, r.start) for r in got.collect()}
 
 
+def test_exports_in_one_reading(spark):
+    got = S.exports(spark.createDataFrame(CODE, "path string, text string"))
+    assert "Exchange" not in _plan(got) and _plan(got).count("Scan ExistingRDD") == 1
+    rows = {r.path: r.exports for r in got.collect()}
+    assert rows["a.ts"] == ["q()", "w()", "v", "f()"] and rows["c_test.go"] == ["TestX()", "M()"] and rows["d.txt"] == []
+
+
 def test_files_without_a_node_are_dealt_out(spark):
     m = spark.createDataFrame([(f"f{i}.go",) for i in range(400)] + [("a.ts",)], "path string")
     keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
