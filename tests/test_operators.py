@@ -124,6 +124,12 @@ def test_exports_in_one_reading(spark):
     assert rows["a.ts"] == ["q()", "w()", "v", "f()"] and rows["c_test.go"] == ["TestX()", "M()"] and rows["d.txt"] == []
 
 
+def test_coarse_regions_in_one_reading(spark):
+    got = regions.coarse_regions(S.heads(spark.createDataFrame(CODE, "path string, text string")))
+    assert "Union" not in _plan(got)
+    assert ("c_test.go", 3, "FUNCS", 3, 6) in set(map(tuple, got.collect()))
+
+
 def test_files_without_a_node_are_dealt_out(spark):
     m = spark.createDataFrame([(f"f{i}.go",) for i in range(400)] + [("a.ts",)], "path string")
     keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
