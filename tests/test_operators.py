@@ -130,6 +130,13 @@ def test_coarse_regions_in_one_reading(spark):
     assert ("c_test.go", 3, "FUNCS", 3, 6) in set(map(tuple, got.collect()))
 
 
+def test_all_regions_in_one_reading(spark):
+    got = regions.all_regions(spark.createDataFrame(CODE, "path string, text string"), regions.AutoConfig(min_lines=2))
+    assert "Exchange" not in _plan(got) and _plan(got).count("Scan ExistingRDD") == 1
+    rows = set(map(tuple, got.where("path = 'c_test.go'").collect()))
+    assert ("c_test.go", 0, "R", 2, 5) in rows and ("c_test.go", 1, "auto:FUNCS", 3, 6) in rows
+
+
 def test_files_without_a_node_are_dealt_out(spark):
     m = spark.createDataFrame([(f"f{i}.go",) for i in range(400)] + [("a.ts",)], "path string")
     keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
