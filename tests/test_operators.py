@@ -135,6 +135,8 @@ def test_all_regions_in_one_reading(spark):
     assert "Exchange" not in _plan(got) and _plan(got).count("Scan ExistingRDD") == 1
     rows = set(map(tuple, got.where("path = 'c_test.go'").collect()))
     assert ("c_test.go", 0, "R", 2, 5) in rows and ("c_test.go", 1, "auto:FUNCS", 3, 6) in rows
+    ids = {r.id for r in slices.region_pointers(got).collect()}
+    assert {"c_test.go#R", "c_test.go#auto-FUNCS"} <= ids
 
 
 def test_files_without_a_node_are_dealt_out(spark):
