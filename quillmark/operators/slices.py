@@ -14,21 +14,20 @@ MAX_LINES = 500
 def slices(files: DataFrame, regions: DataFrame | None = None, max_lines: int = MAX_LINES) -> DataFrame:
     """(path, slice, start, end) of files (path, lines): one for each distinct region of a file that has regions (path, name,
     start, end); of other files chunks of ``max_lines`` if they are longer than that. Without a limit that is one chunk."""
-    if regions is None:
-        bare, named = files, None
-    else:
-        r = regions.join(files.select("path", "lines"), "path")
-        start = F.greatest("start", F.lit(1))
-        end = F.least(F.greatest("end", start), F.col("lines"))
-        named = r.select("path", F.col("name").alias("slice"), start.cast("int").alias("start"), end.cast("int").alias("end")).distinct()
-        bare = files.join(regions.select("path").distinct(), "path", "left_anti")
+    row = lambda name, a, b: F.struct(name.alias("slice"), a.cast("int").alias("start"), b.cast("int").alias("end"))
     if max_lines > 0:
-        long = bare.where(F.col("lines") > max_lines).withColumn("start", F.explode(F.sequence(F.lit(1), F.col("lines"), F.lit(max_lines))))
-        end = F.least(F.col("start") + max_lines - 1, F.col("lines"))
+        starts = F.when(F.col("lines") > max_lines, F.sequence(F.lit(1), F.col("lines"), F.lit(max_lines)))
     else:
-        long, end = bare.withColumn("start", F.lit(1)), F.col("lines")
-    chunks = long.select("path", F.concat(F.lit("chunk_"), F.col("start")).alias("slice"), F.col("start").cast("int").alias("start"), end.cast("int").alias("end"))
-    return chunks if named is None else named.unionByName(chunks)
+        starts = F.array(F.lit(1))
+    end = lambda x: F.least(x + max_lines - 1, F.col("lines")) if max_lines > 0 else F.col("lines")
+    chunks = F.transform(starts, lambda x: row(F.concat(F.lit("chunk_"), x), x, end(x)))
+    if regions is None:
+        return files.select("path", F.inline(chunks))
+    # files are read once: each with its regions, or without any
+    j = files.select("path", "lines").join(regions.select("path", "name", "start", "end", F.lit(True).alias("_named")), "path", "left")
+    first = F.greatest("start", F.lit(1))
+    named = F.array(row(F.col("name"), first, F.least(F.greatest("end", first), F.col("lines"))))
+    return j.select("path", F.inline(F.when(F.col("_named"), named).otherwise(chunks))).distinct()
 
 
 def region_pointers(regions: DataFrame) -> DataFrame:

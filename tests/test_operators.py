@@ -139,6 +139,14 @@ def test_all_regions_in_one_reading(spark):
     assert {"c_test.go#R", "c_test.go#auto-FUNCS"} <= ids
 
 
+def test_slices_in_one_join(spark):
+    f = spark.createDataFrame([("a", 45), ("c", 9)], "path string, lines int")
+    r = spark.createDataFrame([("c", "x", -3, 99), ("c", "x", 1, 9)], "path string, name string, start int, end int")
+    got = slices.slices(f, r, 20)
+    assert _plan(got).count("Join") == 1
+    assert sorted(map(tuple, got.collect())) == [("a", "chunk_1", 1, 20), ("a", "chunk_21", 21, 40), ("a", "chunk_41", 41, 45), ("c", "x", 1, 9)]
+
+
 def test_files_without_a_node_are_dealt_out(spark):
     m = spark.createDataFrame([(f"f{i}.go",) for i in range(400)] + [("a.ts",)], "path string")
     keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
