@@ -41,15 +41,15 @@ def region_pointers(regions: DataFrame) -> DataFrame:
 
 
 def symbol_pointers(symbols: DataFrame) -> DataFrame:
-    """(id, path, sym, start, end): the symbol with dashes, the k-th of a bundle with -k; exact duplicates once.
+    """(id, path, sym, start, end): the symbol with dashes, the k-th of a bundle with -k.
 
-    Numbers come from one sort, so names as common as ``main`` are spread.
+    Numbers come from one sort, so names as common as ``main`` are spread. A symbol and its number give one id, so no row is there twice.
     """
     base = F.replace("symbol", F.lit("."), F.lit("-"))
     s = symbols.select("symbol", "path", "start", "end", base.alias("base"))
     s = numbered_within(s, "base", [F.col(c) for c in ("symbol", "path", "start", "end")])
     tail = F.when(F.col("k") > 1, F.concat(F.lit("-"), "k")).otherwise("")
-    return s.select(F.concat("base", tail).alias("id"), "path", F.col("symbol").alias("sym"), "start", "end").distinct()
+    return s.select(F.concat("base", tail).alias("id"), "path", F.col("symbol").alias("sym"), "start", "end")
 
 
 def pointers(regions: DataFrame, symbols: DataFrame) -> DataFrame:

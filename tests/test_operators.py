@@ -12,6 +12,7 @@ from quillmark.functions import hashing, paths
 from quillmark.functions.matches import line_count, matches
 from quillmark.operators import changes, chat, checks, filters, imports, patches, regions, slices
 from quillmark.operators import symbols as S
+from quillmark.operators.ranks import numbered_within
 from quillmark.plans import runs
 from quillmark.sources import bundles, lines, project, schemas, state, tree
 
@@ -147,6 +148,13 @@ def test_slices_in_one_join(spark):
     assert sorted(map(tuple, got.collect())) == [("a", "chunk_1", 1, 20), ("a", "chunk_21", 21, 40), ("a", "chunk_41", 41, 45), ("c", "x", 1, 9)]
 
 
+def test_numbers_of_a_key_that_many_ranges_have(spark):
+    rows = [("b", i) for i in range(3000)] + [("a", i) for i in range(5)] + [("c", 1)]
+    got = numbered_within(spark.createDataFrame(rows, "key string, v int").repartition(8), "key", [F.col("v")])
+    assert "Exchange hashpartitioning(key" not in _plan(got)
+    assert {tuple(r) for r in got.select("key", "v", "k").collect()} == {(k, v, v + 1 if k != "c" else 1) for k, v in rows}
+
+
 def test_files_without_a_node_are_dealt_out(spark):
     m = spark.createDataFrame([(f"f{i}.go",) for i in range(400)] + [("a.ts",)], "path string")
     keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
