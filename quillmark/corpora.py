@@ -57,11 +57,12 @@ SELECT CASE WHEN p_partkey % 3 = 0 THEN 'src/test/' ELSE 'src/' END || brand ||
 FROM (SELECT p_partkey, replace(lower(p_brand), '#', '') AS brand FROM part) p
 LEFT JOIN (SELECT p_partkey AS pk, {{agg}} AS body FROM (
     SELECT p_partkey, rn, {case(2, True)} AS piece FROM (
-        SELECT l_partkey AS p_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice) AS rn FROM lineitem) x) y GROUP BY p_partkey) b ON p.p_partkey = b.pk"""
+        SELECT {{key}}, l_suppkey, row_number() OVER (PARTITION BY {{part}} ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice) AS rn FROM {{items}}) x) y GROUP BY p_partkey) b ON p.p_partkey = b.pk"""
 
 
-SPARK = {"sha": "sha2(CAST(text AS BINARY), 256)", "agg": "listagg(piece, '') WITHIN GROUP (ORDER BY rn)"}
-DUCK = {"sha": "sha256(text)", "agg": "string_agg(piece, '' ORDER BY rn)"}
+#: Spark names the part before it numbers a part's rows, so that the rows it then puts together are dealt by the same column.
+SPARK = {"sha": "sha2(CAST(text AS BINARY), 256)", "agg": "listagg(piece, '') WITHIN GROUP (ORDER BY rn)", "key": "p_partkey", "part": "p_partkey", "items": "(SELECT *, l_partkey AS p_partkey FROM lineitem) i"}
+DUCK = {"sha": "sha256(text)", "agg": "string_agg(piece, '' ORDER BY rn)", "key": "l_partkey AS p_partkey", "part": "l_partkey", "items": "lineitem"}
 SQL = {"text_files": text_files_sql, "prev": lambda: snapshots_sql("prev"), "curr": lambda: snapshots_sql("curr"), "code_files": _code_sql}
 
 

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .matches import MULTI
+from .matches import MULTI, WS
 
 #: Files whose rows are in memory at a time.
 FILES = 256
+_SPACE = "\t\n\f\r "
 
 
 @lru_cache(maxsize=None)
@@ -34,14 +35,54 @@ def line_starts(text: str) -> list[int]:
     return out
 
 
-def at_lines(java: str, text: str, starts: list[int]) -> list[re.Match]:
-    """All matches, in order. As only the start of a line can match, other places are not tried."""
-    match, end, out = compiled(java).match, 0, []
-    for s in starts:
-        if s >= end and (m := match(text, s)):
-            out.append(m)
-            end = m.end()
-    return out
+#: White space, then a word or a choice of few words; of many, every other letter begins one.
+_LED = re.compile(re.escape("^" + WS) + r"\*\+?(?=[a-z]{2}(?![?*+{|])|\(\?:[a-z]+(?:\|[a-z]+){0,4}\)(?![?*+{]))")
+
+
+@lru_cache(maxsize=None)
+def led_by_word(java: str) -> re.Pattern | None:
+    """Of a pattern that begins with words after white space, what follows the white space; else None."""
+    whole = java.removeprefix(MULTI)
+    m = _LED.match(whole)
+    return re.compile(whole[m.end() :], re.M | re.A) if m and "|^" not in whole else None
+
+
+def _start(text: str, at: int, low: int) -> int:
+    """The first start of a line, from ``low`` on, from which white space leads up to ``at``; -1 if there is none."""
+    i = low + len(text[low:at].rstrip(_SPACE))
+    if i == 0 or i == low and text[i - 1] == "\n":
+        return i
+    return text.find("\n", i, at) + 1 or -1
+
+
+def each_at_lines(java: str, text: str, starts: list[int]) -> Iterator[tuple[int, re.Match]]:
+    """All matches with the places where they start, in order; the text is searched as far as they are asked for.
+
+    As only the start of a line can match, other places are not tried. Of a pattern that begins with words these are searched,
+    and a match itself begins after its white space.
+    """
+    word = led_by_word(java)
+    if not word:
+        match, end = compiled(java).match, 0
+        for s in starts:
+            if s >= end and (m := match(text, s)):
+                yield s, m
+                end = m.end()
+        return
+    low, again = 0, 0
+    while again >= 0:
+        here, again = again, -1
+        for m in word.finditer(text, here):
+            s = _start(text, m.start(), low)
+            if s < 0:  # within a line; it may hide the next one
+                low = again = m.start() + 1
+                break
+            yield s, m
+            low = m.end()
+
+
+def at_lines(java: str, text: str, starts: list[int]) -> list[tuple[int, re.Match]]:
+    return list(each_at_lines(java, text, starts))
 
 
 def line_of(starts: list[int], at: int) -> int:

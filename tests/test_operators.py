@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.functions import hashing, paths
+from quillmark import corpora
+from quillmark.functions import hashing, paths, scans
 from quillmark.functions.matches import line_count, matches
 from quillmark.operators import changes, chat, checks, filters, imports, patches, regions, slices
 from quillmark.operators import symbols as S
@@ -140,6 +141,43 @@ def test_all_regions_in_one_reading(spark):
     assert {"c_test.go#R", "c_test.go#auto-FUNCS"} <= ids
 
 
+def test_code_files_are_dealt_once_by_part(spark):
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = _plan(corpora.corpus(spark, "/root/testdata/sf0.001", "code_files"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert plan.count("Exchange hashpartitioning") == 2  # rows of each of the two tables, but no texts
+
+
+def test_matches_by_their_first_word():
+    t = "x func a(\n\n \n func b(\nfunc c( func d(\n\tfunc e(\n"
+    java = S.RULES["go"][0].java
+    assert scans.led_by_word(java)
+    assert [(s, m[2]) for s, m in scans.at_lines(java, t, scans.line_starts(t))] == [(10, "b"), (22, "c"), (38, "e")]
+    assert scans.led_by_word(S.RULES["cpp"][0].java) is None and scans.led_by_word(regions.java_form(regions.COARSE["cs"][0][1])) is None
+
+
+def test_regions_seek_symbols_as_far_as_they_need(monkeypatch):
+    t = "package a\n" + "func f(\n) {\n}\n" * 500
+    starts, seen = scans.line_starts(t), []
+    each = S.each_at_lines
+    monkeypatch.setattr(S, "each_at_lines", lambda *a: (seen.append(x) or x for x in each(*a)))
+    got = S.first_spans("go", "", t, starts, 1502, 2, 8)
+    assert [(s, e) for s, e, _ in got] == [(2 + 3 * i, 4 + 3 * i) for i in range(8)] and len(seen) < 20
+    assert len(S.first_spans("go", "", t, starts, 1502, 2, 0)) == 500
+
+
+def test_cpp_rules_of_one_pattern_share_their_matches(monkeypatch):
+    tried = []
+    each = S.each_at_lines
+    monkeypatch.setattr(S, "each_at_lines", lambda java, *a: tried.append(java) or each(java, *a))
+    t = CODE[1][1]
+    got = S.emitted("cpp", "x", "T", "class", t, scans.line_starts(t))
+    assert len(tried) == len(set(tried)) and ("x.T.d", "method") in {x[1:3] for x in got}
+
+
 def test_slices_in_one_join(spark):
     f = spark.createDataFrame([("a", 45), ("c", 9)], "path string, lines int")
     r = spark.createDataFrame([("c", "x", -3, 99), ("c", "x", 1, 9)], "path string, name string, start int, end int")
