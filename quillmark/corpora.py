@@ -52,7 +52,7 @@ def _code_sql() -> str:
     case = lambda i, method: "CASE p_partkey % 7 " + " ".join(f"WHEN {j} THEN {filled(t[i], method)}" for j, t in enumerate(_TEMPLATES)) + " END"
     ext = "CASE p_partkey % 7 " + " ".join(f"WHEN {j} THEN '{t[0]}'" for j, t in enumerate(_TEMPLATES)) + " END"
     return f"""
-SELECT CASE WHEN p_partkey % 3 = 0 THEN 'src/test/' ELSE 'src/' END || brand || '/' || CASE WHEN p_partkey % 35 = 12 THEN 'k' || CAST(p_partkey AS STRING) || '/__init__' ELSE 'f' || CAST(p_partkey AS STRING) END || CASE WHEN p_partkey % 14 = 7 THEN '_test' ELSE '' END || {ext} AS path,
+SELECT {{hint}}CASE WHEN p_partkey % 3 = 0 THEN 'src/test/' ELSE 'src/' END || brand || '/' || CASE WHEN p_partkey % 35 = 12 THEN 'k' || CAST(p_partkey AS STRING) || '/__init__' ELSE 'f' || CAST(p_partkey AS STRING) END || CASE WHEN p_partkey % 14 = 7 THEN '_test' ELSE '' END || {ext} AS path,
     replace({case(1, False)} || coalesce(body, '') || {case(3, False)}, '~', chr(10)) AS text
 FROM (SELECT p_partkey, replace(lower(p_brand), '#', '') AS brand FROM part) p
 LEFT JOIN (SELECT p_partkey AS pk, {{agg}} AS body FROM (
@@ -61,8 +61,10 @@ LEFT JOIN (SELECT p_partkey AS pk, {{agg}} AS body FROM (
 
 
 #: Spark names the part before it numbers a part's rows, so that the rows it then puts together are dealt by the same column.
-SPARK = {"sha": "sha2(CAST(text AS BINARY), 256)", "agg": "listagg(piece, '') WITHIN GROUP (ORDER BY rn)", "key": "p_partkey", "part": "p_partkey", "items": "(SELECT *, l_partkey AS p_partkey FROM lineitem) i"}
-DUCK = {"sha": "sha256(text)", "agg": "string_agg(piece, '' ORDER BY rn)", "key": "l_partkey AS p_partkey", "part": "l_partkey", "items": "lineitem"}
+#: Parts are dealt likewise and looked up where the texts are: a table that looks small would be sent whole to the few tasks that
+#: read the parts' one file, and all that is done with the texts would be theirs.
+SPARK = {"hint": "/*+ SHUFFLE_HASH(p) */ ", "sha": "sha2(CAST(text AS BINARY), 256)", "agg": "listagg(piece, '') WITHIN GROUP (ORDER BY rn)", "key": "p_partkey", "part": "p_partkey", "items": "(SELECT *, l_partkey AS p_partkey FROM lineitem) i"}
+DUCK = {"hint": "", "sha": "sha256(text)", "agg": "string_agg(piece, '' ORDER BY rn)", "key": "l_partkey AS p_partkey", "part": "l_partkey", "items": "lineitem"}
 SQL = {"text_files": text_files_sql, "prev": lambda: snapshots_sql("prev"), "curr": lambda: snapshots_sql("curr"), "code_files": _code_sql}
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +25,9 @@ def fence_of(path: Column) -> Column:
 
 
 def _lookup(path: Column, table: dict[str, list[str]]) -> Column:
-    ext = extension(path)
-    cases = [(ext.isin([f".{e}" for e in exts]), tag) for tag, exts in table.items()]
-    return reduce(lambda acc, c: acc.when(c[0], c[1]), cases[1:], F.when(cases[0][0], cases[0][1]))
+    """Null if no tag has the extension, which is found once."""
+    tags = [F.lit(x) for tag, exts in table.items() for e in exts for x in (f".{e}", tag)]
+    return F.try_element_at(F.create_map(*tags), extension(path))
 
 
 def qualified(*parts: Column) -> Column:

@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +31,25 @@ def compiled(java: str) -> re.Pattern:
 
 def line_starts(text: str) -> list[int]:
     """Places where lines start. The line of a place is the number of starts up to it."""
-    out, at = [0], text.find("\n") + 1
-    while at:
-        out.append(at)
-        at = text.find("\n", at) + 1
-    return out
+    widths = [len(x) for x in text.split("\n")]
+    return list(map(add, accumulate(widths[:-1], initial=0), range(len(widths))))
+
+
+@lru_cache(maxsize=None)
+def fed(java: str) -> re.Pattern | None:
+    """A pattern behind the line feed before it, which the engine finds at once; None if it has more than one ``^``, or if
+    it can end with the next line feed."""
+    whole = java.removeprefix(MULTI)
+    return re.compile(r"\n" + whole[1:], re.M | re.A) if whole.startswith("^") and "|^" not in whole and not whole.endswith("$") else None
+
+
+_BLANK = re.compile(r"\n(?:[\t\f\r ]*+\n){32}")
+
+
+@lru_cache(maxsize=4)
+def long_blank(text: str) -> bool:
+    """Whether there are many blank lines together; a search from each of them would pass over all that follow."""
+    return _BLANK.search(text) is not None
 
 
 #: White space, then a word or a choice of few words; of many, every other letter begins one.
@@ -55,16 +72,25 @@ def _start(text: str, at: int, low: int) -> int:
     return text.find("\n", i, at) + 1 or -1
 
 
-def each_at_lines(java: str, text: str, starts: list[int]) -> Iterator[tuple[int, re.Match]]:
+def each_at_lines(java: str, text: str, starts: list[int] | None = None) -> Iterator[tuple[int, re.Match]]:
     """All matches with the places where they start, in order; the text is searched as far as they are asked for.
 
-    As only the start of a line can match, other places are not tried. Of a pattern that begins with words these are searched,
-    and a match itself begins after its white space.
+    As only the start of a line can match, line feeds are searched, with the pattern behind them (``m.start()`` is that place, ``m[0]``
+    has the line feed). Where many blank lines stand together, words are searched if the pattern begins with words, and a match itself
+    begins after its white space; else the starts of lines are tried.
     """
+    behind = fed(java)
+    if behind and not long_blank(text):
+        m = compiled(java).match(text)
+        if m:
+            yield 0, m
+        for m in behind.finditer(text, m.end() if m else 0):
+            yield m.start() + 1, m
+        return
     word = led_by_word(java)
     if not word:
         match, end = compiled(java).match, 0
-        for s in starts:
+        for s in line_starts(text) if starts is None else starts:
             if s >= end and (m := match(text, s)):
                 yield s, m
                 end = m.end()
@@ -81,10 +107,23 @@ def each_at_lines(java: str, text: str, starts: list[int]) -> Iterator[tuple[int
             low = m.end()
 
 
-def at_lines(java: str, text: str, starts: list[int]) -> list[tuple[int, re.Match]]:
+def at_lines(java: str, text: str, starts: list[int] | None = None) -> list[tuple[int, re.Match]]:
     return list(each_at_lines(java, text, starts))
 
 
+def ends_at_lines(java: str, text: str, starts: list[int], only_first: bool = False) -> tuple[tuple[int, re.Match], tuple[int, re.Match]] | None:
+    """The first and the last match, or twice the first one; None if there is none."""
+    each = each_at_lines(java, text, starts)
+    first = next(each, None)
+    if only_first:
+        return first and (first, first)
+    behind = fed(java)
+    if first and behind and not long_blank(text):  # the engine passes over those between
+        last = deque(behind.finditer(text, first[1].end()), 1)
+        return first, (last[0].start() + 1, last[0]) if last else first
+    return first and (first, deque(chain([first], each), 1)[0])
+
+
 def line_of(starts: list[int], at: int) -> int:
     return bisect_right(starts, at)
 

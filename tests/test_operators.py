@@ -178,6 +178,36 @@ def test_cpp_rules_of_one_pattern_share_their_matches(monkeypatch):
     assert len(tried) == len(set(tried)) and ("x.T.d", "method") in {x[1:3] for x in got}
 
 
+def test_texts_of_small_tables_are_not_sent_to_the_readers_of_parts(spark):
+    got = corpora.corpus(spark, "/root/testdata/sf0.01", "code_files")  # its lineitem could be broadcast
+    assert "Broadcast" not in _plan(got) and _plan(got).count("Exchange hashpartitioning") == 2
+
+
+def test_heads_in_the_row_equal_heads(spark):
+    blank = "\n" * 40
+    more = [("e.java", "package a.b;\npublic enum E {\n"), ("f/g.py", "class C(\n"), ("f/__init__.py", ""), ("h.cs", "namespace N.M\n{\n  x sealed class Q\n"), ("i.kt", blank + "package p\nobject O"), ("j.h", "\n namespace a::b:: {\nenum class E\n"), ("k.tsx", "export interface I {"), ("l.js", "export default class {"), ("m.go", "package q\r\n"), ("n.cpp", "class Aé")]
+    d = spark.createDataFrame(CODE + more, "path string, text string")
+    want = {r.path: tuple(r)[1:] for r in S.heads(d).select("path", "lang", "lines", "package", "class", "kind", "text").collect()}
+    assert {r.path: S.head(*tuple(r)[1:]) for r in S.with_text(d).collect()} == want
+    assert want["k.tsx"][3:5] == ("I", "interface") and want["j.h"][2] == "a.b" and want["n.cpp"][3] == "A"
+    assert "regexp_extract(text" not in _plan(regions.all_regions(d))
+
+
+def test_matches_behind_line_feeds_are_those_at_the_starts_of_lines(monkeypatch):
+    patterns = [r.java for rules in S.RULES.values() for r in rules] + [regions.java_form(*x[1:3]) for rules in regions.COARSE.values() for x in rules]
+    t = "func a(\n\n \nint f(x) {\n\tdef g(h\n func b (\nexport const c = (\n) => d\nprivate int e;\n\n  private f , g ;\n  x y::z(\n"
+    for text in (t, "\n" * 40 + t, t + " \n" * 40 + t):
+        starts = scans.line_starts(text)
+        assert starts == [0] + [i + 1 for i, c in enumerate(text) if c == "\n"]
+        got = [[(s, m.end(), m.groups()) for s, m in scans.at_lines(p, text, starts)] for p in patterns]
+        ends = [scans.ends_at_lines(p, text, starts) for p in patterns]
+        with monkeypatch.context() as c:
+            c.setattr(scans, "long_blank", lambda text: True)
+            assert got == [[(s, m.end(), m.groups()) for s, m in scans.at_lines(p, text, starts)] for p in patterns]
+        assert [x and [(s, m.end(), m.groups()) for s, m in x] for x in ends] == [x[:1] + x[-1:] if x else None for x in got]
+    assert scans.long_blank("\n" * 40) and not scans.long_blank(t)
+
+
 def test_slices_in_one_join(spark):
     f = spark.createDataFrame([("a", 45), ("c", 9)], "path string, lines int")
     r = spark.createDataFrame([("c", "x", -3, 99), ("c", "x", 1, 9)], "path string, name string, start int, end int")
