@@ -208,6 +208,14 @@ def test_matches_behind_line_feeds_are_those_at_the_starts_of_lines(monkeypatch)
     assert scans.long_blank("\n" * 40) and not scans.long_blank(t)
 
 
+def test_exports_seek_no_lines(monkeypatch):
+    monkeypatch.delattr(S, "line_of")
+    assert S.exported("go", "", CODE[2][1]) == ["TestX()", "M()"]
+    assert S.exported("ts", "A", CODE[0][1]) == ["q()", "w()", "v", "f()"]
+    assert S.exported("cpp", "T", CODE[1][1]) == ["g()", "d()"] and S.exported("cpp", "", CODE[1][1]) == ["g()", "d()"]
+    assert S.exported("java", "C", "public C() {}\n int f(\n int f(\n") == ["f()", "f()", "C()"] and S.exported("", "", "x") == []
+
+
 def test_slices_in_one_join(spark):
     f = spark.createDataFrame([("a", 45), ("c", 9)], "path string, lines int")
     r = spark.createDataFrame([("c", "x", -3, 99), ("c", "x", 1, 9)], "path string, name string, start int, end int")
