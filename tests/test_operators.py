@@ -216,6 +216,12 @@ def test_exports_seek_no_lines(monkeypatch):
     assert S.exported("java", "C", "public C() {}\n int f(\n int f(\n") == ["f()", "f()", "C()"] and S.exported("", "", "x") == []
 
 
+def test_files_of_a_language_are_told_by_one_look_at_their_paths(spark):
+    got = S.symbols(spark.createDataFrame(CODE + [("e.HPP", "class E")], "path string, text string"), ("cpp",))
+    told = [x for x in _plan(got).split("\n") if "Filter" in x]
+    assert len(told) == 1 and told[0].count("regexp_extract") == 1 and {r.path for r in got.collect()} == {"b.cpp", "e.HPP"}
+
+
 def test_slices_in_one_join(spark):
     f = spark.createDataFrame([("a", 45), ("c", 9)], "path string, lines int")
     r = spark.createDataFrame([("c", "x", -3, 99), ("c", "x", 1, 9)], "path string, name string, start int, end int")
