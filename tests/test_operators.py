@@ -169,6 +169,17 @@ def test_regions_seek_symbols_as_far_as_they_need(monkeypatch):
     assert len(S.first_spans("go", "", t, starts, 1502, 2, 0)) == 500
 
 
+def test_regions_seek_members_of_objects_as_far_as_they_need(monkeypatch):
+    over = "export const o = {\n get (\nexport const p = {\n set (\n\n}\n"  # the first block reaches over the second
+    t = over + "export const q = {\n get (\n\n}\n" * 500
+    starts, seen = scans.line_starts(t), []
+    each = S.each_at_lines
+    monkeypatch.setattr(S, "each_at_lines", lambda *a: (seen.append(x) or x for x in each(*a)))
+    got = S.first_spans("ts", "", t, starts, len(starts), 2, 8)
+    assert [(s, e) for s, e, _ in got] == [(2, 3), (4, 7)] + [(8 + 4 * i, 11 + 4 * i) for i in range(6)] and len(seen) < 40
+    assert len(S.first_spans("ts", "", t, starts, len(starts), 2, 0)) == 502
+
+
 def test_cpp_rules_of_one_pattern_share_their_matches(monkeypatch):
     tried = []
     each = S.each_at_lines
