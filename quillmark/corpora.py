@@ -8,7 +8,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions.paths import LANG_BY_EXT
 from .session import table
 
 _EXT = "CASE lang WHEN 'en' THEN '.go' WHEN 'de' THEN '.java' WHEN 'fr' THEN '.ts' ELSE '.py' END"
@@ -82,7 +84,24 @@ def duck(name: str) -> str:
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A corpus as a DataFrame; the code goes through two tables' views of this call only."""
     tables = ["part", "lineitem"] if name == "code_files" else ["documents"]
-    return spark.sql(_rename(_fill(SQL[name](), SPARK), tables), **{t: table(spark, sf_dir, t) for t in tables})
+    return _over(name, {t: table(spark, sf_dir, t) for t in tables})
+
+
+def code_in(spark: SparkSession, sf_dir: str, languages: tuple[str, ...]) -> DataFrame:
+    """All of ``code_files`` in these languages, and no others. A part's key tells its file's language, so rows that are in no such
+    file are told when they are read; they are not sorted, sent and put together first.
+
+    The number of partitions is named, so that Spark does not merge them by their size: what is sent is small, the texts and what is
+    found in them are many times larger, and few tasks would have it all.
+    """
+    known = {f".{e}" for x in languages for e in LANG_BY_EXT[x]}
+    kinds = [k for k, t in enumerate(_TEMPLATES) if t[0] in known]
+    part, items = (table(spark, sf_dir, t).where((F.col(k) % len(_TEMPLATES)).isin(*kinds)) for t, k in (("part", "p_partkey"), ("lineitem", "l_partkey")))
+    return _over("code_files", {"part": part, "lineitem": items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_partkey")})
+
+
+def _over(name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    return tables[next(iter(tables))].sparkSession.sql(_rename(_fill(SQL[name](), SPARK), list(tables)), **tables)
 
 
 def _rename(sql: str, tables: list[str]) -> str:

@@ -85,7 +85,7 @@ def file_heads(spark, d):
 
 
 def _symbols_of(lang: str):
-    return lambda spark, d: S.symbols(_code(spark, d), (lang,))
+    return lambda spark, d: S.symbols(corpora.code_in(spark, d, (lang,)), (lang,))
 
 
 for _lang in S.RULES:

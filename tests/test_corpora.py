@@ -1,8 +1,11 @@
 """Rendered source files have a method for each row of lineitem."""
 
+import re
+
 import duckdb
 
 from quillmark import catalog, corpora
+from quillmark.functions.paths import LANG_BY_EXT
 
 from test_queries import canonical
 
@@ -37,3 +40,22 @@ def test_a_query_equals_its_sql(spark, tmp_path):
     a = canonical(catalog.QUERIES["file_heads"](spark, str(tmp_path)).toPandas())
     b = canonical(con.execute(catalog.ORACLES["file_heads"]).df())
     assert a.equals(b)
+
+
+def test_rows_of_other_languages_are_not_sent(spark, tmp_path):
+    tables(spark, tmp_path)
+    odd = spark.createDataFrame([(None, "Brand#1"), (-1, "Brand#1"), (27, None), (34, "Brand#2")], "p_partkey long, p_brand string")
+    odd.write.mode("append").parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    whole = {tuple(r) for r in corpora.corpus(spark, str(tmp_path), "code_files").collect()}
+    for lang, exts in LANG_BY_EXT.items():
+        got = [tuple(r) for r in corpora.code_in(spark, str(tmp_path), (lang,)).where("path IS NOT NULL").collect()]
+        assert got and sorted(got) == sorted(r for r in whole if r[0] and r[0].rsplit(".", 1)[1] in exts)
+    assert {tuple(r) for r in corpora.code_in(spark, str(tmp_path), tuple(LANG_BY_EXT)).where("path IS NOT NULL").collect()} == {r for r in whole if r[0]}
+    asked = catalog.QUERIES["symbols_cpp"](spark, str(tmp_path))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert re.search(r"Filter .*\(l_partkey#\d+L % 7\) = 6\)", plan) and len(sent) == 2 and any("REPARTITION_BY_NUM" in x for x in sent)
+    assert canonical(asked.toPandas()).equals(canonical(con.execute(catalog.ORACLES["symbols_cpp"]).df()))
