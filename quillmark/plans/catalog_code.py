@@ -151,17 +151,17 @@ regions AS (SELECT e.path, 0 AS origin, name, greatest(start, 1)::INT AS start,
 
 @query("coarse_regions", f"WITH {heads_sql()}, {coarse_sql()} SELECT * FROM coarse")
 def coarse_regions(spark, d):
-    return regions.coarse_regions(S.heads(_code(spark, d)))
+    return regions.coarse_regions(S.heads(corpora.code_in(spark, d, tuple(regions.COARSE))))
 
 
 @query("import_regions", f"WITH {heads_sql()}, {IMPORTS} SELECT * FROM im")
 def import_regions(spark, d):
-    return regions.import_regions(S.heads(_code(spark, d)))
+    return regions.import_regions(S.heads(corpora.code_in(spark, d, regions.IMPORT_LANGUAGES)))
 
 
 @query("test_regions", f"WITH {heads_sql()}, {TESTS} SELECT * FROM tests")
 def test_regions(spark, d):
-    return regions.test_regions(S.heads(_code(spark, d)))
+    return regions.test_regions(S.heads(corpora.code_in(spark, d, tuple(regions.TESTS))))
 
 
 @query("all_regions_topk", f"WITH {ALL} SELECT * FROM regions")

@@ -59,3 +59,10 @@ def test_rows_of_other_languages_are_not_sent(spark, tmp_path):
     sent = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
     assert re.search(r"Filter .*\(l_partkey#\d+L % 7\) = 6\)", plan) and len(sent) == 2 and any("REPARTITION_BY_NUM" in x for x in sent)
     assert canonical(asked.toPandas()).equals(canonical(con.execute(catalog.ORACLES["symbols_cpp"]).df()))
+
+
+def test_regions_of_some_languages_have_no_other_rows_sent(spark, tmp_path):
+    tables(spark, tmp_path)
+    for name, kinds in {"import_regions": "0,1,2", "test_regions": "0,2", "coarse_regions": "0,1,2,4"}.items():
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"Filter .*\(l_partkey#\d+L % 7\) IN \({kinds}\)", plan), name
